@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from . import license_scan
+from . import license_scan, mixing, stream_dedup
 
 
 def queries() -> dict:
-    return {"op5_license_scan": license_scan.op5_license_scan}
+    return {
+        "op5_license_scan": license_scan.op5_license_scan,
+        "op6_pfair_mixing": mixing.op6_pfair_mixing,
+        "op8_stream_dedup": stream_dedup.op8_stream_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": license_scan.oracle()}
+    return {
+        "op5_license_scan": license_scan.oracle(),
+        "op6_pfair_mixing": mixing.oracle(),
+        "op8_stream_dedup": stream_dedup.oracle(),
+    }
