@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import license_scan, mixing, stream_dedup
+from . import license_scan, mixing, sharding, stream_dedup
 
 
 def queries() -> dict:
     return {
+        "op2_byte_shards": sharding.op2_byte_shards,
         "op5_license_scan": license_scan.op5_license_scan,
         "op6_pfair_mixing": mixing.op6_pfair_mixing,
         "op8_stream_dedup": stream_dedup.op8_stream_dedup,
