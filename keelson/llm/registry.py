@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, mixing, sharding, stream_dedup
+from . import license_scan, mixing, sharding, stream_dedup, topk
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op5_license_scan": license_scan.op5_license_scan,
         "op6_pfair_mixing": mixing.op6_pfair_mixing,
         "op8_stream_dedup": stream_dedup.op8_stream_dedup,
+        "op9_uniform_threshold_topk": topk.op9_uniform_threshold_topk,
     }
 
 
@@ -19,4 +20,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_license_scan": license_scan.oracle(),
         "op6_pfair_mixing": mixing.oracle(),
         "op8_stream_dedup": stream_dedup.oracle(),
+        "op9_uniform_threshold_topk": topk.oracle(),
     }
