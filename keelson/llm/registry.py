@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import license_scan, mixing, sharding, stream_dedup, topk
+from . import bpe, license_scan, mixing, sharding, stream_dedup, topk
 
 
 def queries() -> dict:
     return {
         "op2_byte_shards": sharding.op2_byte_shards,
+        "op4_word_bpe": bpe.op4_word_bpe,
         "op5_license_scan": license_scan.op5_license_scan,
         "op6_pfair_mixing": mixing.op6_pfair_mixing,
         "op8_stream_dedup": stream_dedup.op8_stream_dedup,
