@@ -27,7 +27,11 @@ from .common import materialise, scratch_path, table
 SPACES = r"[\x20\x09-\x0D]+"
 #: A keeper is repeated once for each so many of its hits, so that no task compares more of them.
 HITS_A_TASK = 1024
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Every state partition would reserve some megabytes of disk ahead of need.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -56,17 +60,19 @@ def update_state(digests: DataFrame, path: str, checkpoint: str) -> DataFrame:
     stream = spark.readStream.schema(digests.schema).parquet(path)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "place")).alias("first")
     state = stream.groupBy("digest").agg(first, F.count(F.lit(1)).alias("group_size"))
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE_CONF}
+    for key, value in STATE_CONF.items():
+        spark.conf.set(key, value)
     try:
         query = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
         rows = spark.read.format("statestore").load(checkpoint)
-        value = [f.name for f in rows.schema["value"].dataType.fields]
-        return rows.select(F.col("key.digest").alias("digest"), F.col(f"value.`{value[0]}`").alias("first"), F.col(f"value.`{value[1]}`").alias("group_size"))
+        first, size = [F.col(f"value.`{f.name}`") for f in rows.schema["value"].dataType.fields]
+        # Read out once: every reader would load the state's files anew.
+        return materialise(rows.select("key.digest", first.alias("first"), size.alias("group_size")), "dedup-state")
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def _differing(content: DataFrame, hits: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
