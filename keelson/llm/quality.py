@@ -127,7 +127,8 @@ class Model:
     curve: tuple[np.ndarray, np.ndarray]
 
     def features(self, stats: np.ndarray) -> np.ndarray:
-        x = np.clip((stats - self.mean) / self.scale, -8, 8)
+        # Outliers are drawn in, else each would be far from all others.
+        x = 3 * np.tanh((stats - self.mean) / self.scale / 3)
         z = np.sqrt(2 / len(self.phases)) * np.cos(x @ self.directions + self.phases)
         return np.column_stack([z, np.ones(len(z))])
 
