@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, dart_minhash, language_id, license_scan, mixing, quality, sharding, stream_dedup, topk
+from . import bpe, dart_minhash, language_id, license_scan, line_dedup, mixing, quality, sharding, stream_dedup, topk
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_crf_language_id": language_id.op7_crf_language_id,
         "op8_stream_dedup": stream_dedup.op8_stream_dedup,
         "op9_uniform_threshold_topk": topk.op9_uniform_threshold_topk,
+        "op10_deletion_line_dedup": line_dedup.op10_deletion_line_dedup,
     }
 
 
