@@ -19,7 +19,8 @@ bucket of copies costs as many pairs as it has nodes.
 Defined results: words are runs of letters, marks and digits in lower case. A text of under
 five words has one shingle, of all its words. A text without words, or null, is a class of
 its own. class_id is the smallest doc_id of the class (null ids come last). Repeated rows
-are in one class. Extra columns are not read.
+are in one class; rows that repeat an id and its text count as one document and stay or go
+together. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -167,17 +168,17 @@ def _signatures(size: int, bands: int, rows: int):
                     keyed = mix((values.reshape(-1, bands, rows) * salts).sum(axis=2) + np.arange(1, bands + 1).astype(U))
                     keys = iter(keyed.view(np.int64).tolist())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").slice(a, 256), pa.array([len(s) for s in some], pa.int32()), pa.array([node_name(s) if len(s) else None for s in some], pa.binary()), pa.array([next(keys) if len(s) else None for s in some], pa.list_(pa.int64()))],
-                    ["doc_id", "n", "node", "bands"],
+                    [part.column("doc_id").slice(a, 256), part.column("h").slice(a, 256), pa.array([len(s) for s in some], pa.int32()), pa.array([node_name(s) if len(s) else None for s in some], pa.binary()), pa.array([next(keys) if len(s) else None for s in some], pa.list_(pa.int64()))],
+                    ["doc_id", "h", "n", "node", "bands"],
                 )
 
     return run
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id, n int (shingles), node binary (null without a word), bands array<long>."""
+    """doc_id, h long (the text's hash), n int (shingles), node binary (null without a word), bands array<long>."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_signatures(size, bands, rows), f"doc_id {kind}, n int, node binary, bands array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(_signatures(size, bands, rows), f"doc_id {kind}, h long, n int, node binary, bands array<long>")
 
 
 def _shingles(size: int):
@@ -211,7 +212,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id, class_id, class_size long: every row of docs once."""
+    """doc_id, h long (the text's hash), class_id, class_size long, kept boolean: every row of docs once."""
     signed = materialise(signatures(docs, size, bands, rows), "signatures")
     # One node for all rows of a shingle set, with the id of one of them to find its text by.
     nodes = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -254,12 +255,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
 
 
 def _classes(signed: DataFrame, labels: DataFrame | None) -> DataFrame:
-    worded = signed.where("n > 0").select("doc_id", "node")
-    named = worded.withColumn("comp", F.col("node")) if labels is None else worded.join(labels, "node", "left").select("doc_id", "node", F.coalesce("comp", "node").alias("comp"))
-    classes = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    rest = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return named.join(classes, "comp").select("doc_id", "class_id", "class_size").unionByName(rest)
+    worded = signed.where("n > 0").select("doc_id", "h", "node")
+    named = worded.withColumn("comp", F.col("node")) if labels is None else worded.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    classes = named.groupBy("comp").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("class_size"))
+    named = named.join(classes, "comp").select("doc_id", "h", F.col("first.doc_id").alias("class_id"), "class_size", (place == F.col("first")).alias("kept"))
+    rest = signed.where("n = 0").select("doc_id", "h", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    return named.unionByName(rest)
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """Of each class the first document by id and text hash, with all its columns."""
+    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    keyed = docs.withColumns({"__id": F.col("doc_id"), "__h": F.xxhash64("text")})
+    return null_safe(keyed, gone, ["__id", "__h"], "left_anti").select(*docs.columns)
 
 
 def op1_dart_minhash(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("h")

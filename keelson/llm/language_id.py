@@ -239,6 +239,18 @@ def identify(docs: DataFrame, model: Model | None, spans: bool = False) -> DataF
     return docs.mapInArrow(run, ", ".join([*kinds, "lang_pred string, score double, spans array<struct<first:int,last:int,lang:string>>"]))
 
 
+def keep_identified(docs: DataFrame, model: Model | None, min_score: float) -> DataFrame:
+    """Rows of docs, as they are, whose text has letters and a language with at least min_score of its mass."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches):
+            found = label_texts(shipped.value, texts)
+            yield part.filter(pc.and_(pc.not_equal(found.column("lang_pred"), "und"), pc.greater_equal(found.column("score"), min_score)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_crf_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = identify(docs.select("doc_id", "text"), train(docs))
