@@ -29,12 +29,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-CHUNK_TOKENS = 3_000_000
+CHUNK_TOKENS = 4_000_000
 SLICE_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
 BUCKETS = (64, 16_384)
@@ -63,13 +63,69 @@ def _marks(texts: pa.Array) -> list[str]:
     return free
 
 
+@functools.lru_cache(1)
+def _differing() -> frozenset[str]:
+    """Characters that two libraries' Unicode tables, an older and a newer one, call letter or number differently."""
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    array, found = pa.array(points), set()
+    for kind in (r"\p{L}", r"\p{N}"):
+        found |= set(array.filter(pc.match_substring_regex(array, kind)).to_pylist()) ^ set(regex.findall(kind, "".join(points)))
+    return frozenset(found)
+
+
+@functools.lru_cache(1)
+def doubtful() -> str:
+    """_differing() as a class of ranges; empty if the tables agree."""
+    ranges: list[list[int]] = []
+    for c in sorted(map(ord, _differing())):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]" if ranges else ""
+
+
+@functools.lru_cache(4096)
+def _stand_in(char: str) -> str:
+    """A character that every table has, of the kind that the tokenizer's own table gives to char."""
+
+    def joins(before: str) -> bool:
+        ranks = {bytes([i]): i for i in range(256)} | {before.encode() + char.encode()[:1]: 256}
+        return tiktoken.Encoding("probe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(before + char)[0] == 256
+
+    return "!" if joins(":") else "é" if joins("z") else "1"
+
+
+def _matches(text: str) -> list[str]:
+    """Matches of the pattern one by one, for texts that the faster way can't take."""
+    unsure = _differing() & set(text)
+    known = text.translate({ord(c): _stand_in(c) for c in unsure})
+    return [text[m.start() : m.end()] for m in regex.finditer(public_tokenizers.PATTERN, known)]
+
+
 def pre_tokens(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """Matches of public_tokenizers.PATTERN in texts (no nulls): all of them in order, and how many each text has."""
     marks = _marks(texts)
-    if len(marks) < 2:
-        found = [regex.findall(public_tokenizers.PATTERN, t) for t in texts.to_pylist()]
-        return pa.array([w for ws in found for w in ws], pa.string()).dictionary_encode(), np.array([len(ws) for ws in found], np.int64)
-    cut, end = marks
+    slow = np.full(len(texts), len(marks) < 2)
+    if doubtful():
+        slow |= pc.match_substring_regex(texts, doubtful()).to_numpy(zero_copy_only=False)
+    if not slow.any():
+        return _fast(texts, *marks)
+    parts, counts = [], []
+    edges = np.concatenate(([0], np.flatnonzero(slow[1:] != slow[:-1]) + 1, [len(texts)]))
+    for a, b in zip(edges[:-1], edges[1:]):
+        if slow[a]:
+            found = [_matches(t) for t in texts.slice(a, b - a).to_pylist()]
+            parts.append(pa.array([w for ws in found for w in ws], pa.string()).dictionary_encode())
+            counts.append(np.array([len(ws) for ws in found], np.int64))
+        else:
+            words, n = _fast(texts.slice(a, b - a), *marks)
+            parts.append(words)
+            counts.append(n)
+    return pa.chunked_array(parts).unify_dictionaries().combine_chunks(), np.concatenate(counts)
+
+
+def _fast(texts: pa.Array, cut: str, end: str) -> tuple[pa.DictionaryArray, np.ndarray]:
     pieces = pc.split_pattern(pc.replace_substring_regex(texts, RUN, rf"\1{cut}\2"), cut)
     matched = pc.split_pattern(pc.replace_substring_regex(pieces.flatten(), MATCH, rf"\0{end}"), end)
     # Each piece ends with its last match, so its split ends with an empty string.
@@ -149,11 +205,13 @@ def _blocks(chunk: int, held: list, buckets: int) -> Iterator[pa.RecordBatch]:
     ranked = dictionary.take(pa.array(order))
     bucket = (pd.util.hash_array(np.array(ranked.to_pylist(), object), categorize=False) % buckets).astype(np.int32) if len(order) else np.empty(0, np.int32)
     planes = number[index].view(np.uint8).reshape(-1, 4)
+    # Sorted words, and the ids that answer them, take less room.
+    alphabetical = pc.sort_indices(ranked).to_numpy().astype(np.int64)
+    by = alphabetical[np.argsort(bucket[alphabetical], kind="stable")]
+    edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
     ids = pa.concat_arrays([i for i, _, _ in held])
-    position = _pack(ids=ids, counts=np.concatenate([c for _, _, c in held]), bucket=bucket, **{f"b{k}": np.ascontiguousarray(planes[:, k]) for k in range(4)})
+    position = _pack(ids=ids, counts=np.concatenate([c for _, _, c in held]), order=by.astype(np.uint32), **{f"b{k}": np.ascontiguousarray(planes[:, k]) for k in range(4)})
     yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([-1], pa.int32()), pa.array([position], pa.binary())], schema=BLOCK)
-    by = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(edges)):
         mine = ranked.take(pa.array(by[edges[b] : edges[b + 1]]))
         yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([int(b)], pa.int32()), pa.array([_pack(words=mine)], pa.binary())], schema=BLOCK)
@@ -207,9 +265,8 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _documents(position: dict[str, pa.Array], answers: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    bucket = position["bucket"].to_numpy()
-    sizes, starts = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.int64)
-    by = np.argsort(bucket, kind="stable")
+    by = position["order"].to_numpy()  # the order in which the words were sent, bucket by bucket
+    sizes, starts = np.zeros(len(by), np.int64), np.zeros(len(by), np.int64)
     parts, at, done = [], 0, 0
     for _, payload in answers:
         got = _unpack(payload)
@@ -219,7 +276,7 @@ def _documents(position: dict[str, pa.Array], answers: list[tuple[int, bytes]])
         starts[mine] = at + np.cumsum(n) - n
         parts.append(got["ids"].to_numpy().astype(np.uint32))
         at, done = at + len(parts[-1]), done + len(n)
-    assert done == len(bucket), "a bucket's answer is missing"
+    assert done == len(by), "a bucket's answer is missing"
     flat = np.concatenate(parts) if parts else np.empty(0, np.uint32)
     words = np.column_stack([position[f"b{k}"].to_numpy() for k in range(4)]).view(np.uint32).reshape(-1)
     counts = position["counts"].to_numpy()
@@ -236,11 +293,33 @@ def _documents(position: dict[str, pa.Array], answers: list[tuple[int, bytes]])
         yield pa.RecordBatch.from_arrays([position["ids"].slice(a, b - a), blobs], ["doc_id", "ids"])
 
 
-def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, ids binary: the ids of each text as little-endian unsigned 32-bit integers. ranks_path: a .tiktoken file that the driver reads."""
-    sc = docs.sparkSession.sparkContext
+def _decode(ranks):
+    """Adds the bytes that ids stand for to batches of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(ranks.value)
+        piece = {i: enc.decode_single_token_bytes(i) for i in enc._mergeable_ranks.values()}.__getitem__
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                out = [b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) for x in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
+
+    return run
+
+
+def _shipped(spark: SparkSession, ranks_path: str):
     with open(ranks_path, "rb") as f:
-        ranks = sc.broadcast(f.read())  # the vocabulary, whatever the corpus
+        return spark.sparkContext.broadcast(f.read())  # the vocabulary, whatever the corpus
+
+
+def encode(docs: DataFrame, ranks_path: str, decoded: bool = False) -> DataFrame:
+    """doc_id, ids binary: the ids of each text as little-endian unsigned 32-bit integers.
+
+    ranks_path: a .tiktoken file that the driver reads. decoded: add the ids' bytes, as
+    decode() does, in the same task.
+    """
+    ranks = _shipped(docs.sparkSession, ranks_path)
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = min(max(size // BUCKET_BYTES, BUCKETS[0]), BUCKETS[1])
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -251,30 +330,21 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     words = blocks.where("bucket >= 0").repartition(partitions, "bucket").sortWithinPartitions("bucket", "chunk")
     answers = words.mapInArrow(_encode_words(ranks), schema)
     rows = blocks.where("bucket < 0").unionByName(answers).repartition(partitions, "chunk").sortWithinPartitions("chunk", "bucket")
-    return rows.mapInArrow(_assemble, f"doc_id {id_type}, ids binary")
+    if not decoded:
+        return rows.mapInArrow(_assemble, f"doc_id {id_type}, ids binary")
+    add = _decode(ranks)
+    return rows.mapInArrow(lambda batches: add(_assemble(batches)), f"doc_id {id_type}, ids binary, decoded binary")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, ids, decoded binary: the bytes that the ids stand for."""
-    with open(ranks_path, "rb") as f:
-        ranks = encoded.sparkSession.sparkContext.broadcast(f.read())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(ranks.value)
-        piece = {i: enc.decode_single_token_bytes(i) for i in enc._mergeable_ranks.values()}.__getitem__
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                out = [b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) for x in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
-
     id_type = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInArrow(run, f"doc_id {id_type}, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(_decode(_shipped(encoded.sparkSession, ranks_path)), f"doc_id {id_type}, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, n_tokens long, ids_sha256, decoded_sha256 string."""
-    done = decode(encode(docs, ranks_path), ranks_path)
+    done = encode(docs, ranks_path, decoded=True)
     n = (F.octet_length("ids") / 4).cast("long")
     return done.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
