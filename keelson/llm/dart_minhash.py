@@ -9,12 +9,13 @@ throws about k ln k darts however many elements it has. Layers double in width,
 weight too, so all sets see the same darts.
 
 Joining. Documents with one shingle set are one node. Nodes that agree in a whole band of
-the signature share a bucket. In each bucket all nodes are held against a leader, and the
-exact similarity of each such pair is computed from the shingles. Linked nodes are in one
-class; nodes of a bucket that are still in different classes are held against each other
-in further rounds, with twice as many leaders each time, until every pair of a bucket is
-either compared or in one class. No pair of a bucket that is linked goes uncompared, and a
-bucket of copies costs as many pairs as it has nodes.
+the signature share a bucket. In each bucket the node that shares the most bands leads: all
+others are held against it, and the exact similarity of each such pair is computed from the
+shingles. Linked nodes are in one class. In further rounds, the nodes outside a bucket's
+largest class are held against the leading nodes of other classes, eight times as many each
+time, until every pair of a bucket is either compared or in one class. So no pair of a
+bucket that is linked goes uncompared, and a bucket of copies costs about as many pairs as
+it has nodes.
 
 Defined results: words are runs of letters, marks and digits in lower case. A text of under
 five words has one shingle, of all its words. A text without words, or null, is a class of
@@ -44,6 +45,10 @@ THRESHOLD = 0.8
 #: At similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8**6)**24 = 0.9993, at 0.85 with 0.99999.
 BANDS, BAND_ROWS = 24, 6
 SLICE_BYTES = 8 << 20
+#: Leaders of a bucket grow by this factor from round to round.
+LEADERS = 8
+#: Up to so many pairs, the nodes in them are broadcast (16 bytes each); beyond, all shingles are shuffled.
+BROADCAST_PAIRS = 500_000
 LOWEST = -8  # the first layer of ranks is [0, 2**LOWEST)
 U = np.uint64
 
@@ -191,24 +196,34 @@ def _shingles(size: int):
 
 
 def verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (a, b), those whose exact Jaccard similarity is at least threshold."""
-    left = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("s"))
-    right = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
+    """Of stored pairs (a, b), those whose exact Jaccard similarity is at least threshold."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
+    if pairs.count() <= BROADCAST_PAIRS:  # then only the shingles that are needed are shuffled
+        shingles = shingles.join(F.broadcast(ids), "nid", "left_semi")
+    left = shingles.select(F.col("nid").alias("a"), F.col("shingles").alias("s"))
+    right = shingles.select(F.col("nid").alias("b"), F.col("shingles").alias("t"))
     both = F.size(F.array_intersect("s", "t"))
     return pairs.join(left, "a").join(right, "b").where(both >= threshold * (F.size("s") + F.size("t") - both) - 1e-9).select("a", "b")
 
 
+def lone_shingles(shingles: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(nid, lone): how many shingles of a node no other of the nodes has. Nodes without any are left out."""
+    each = shingles.join(nodes, "nid", "left_semi").select("nid", F.explode("shingles").alias("shingle"))
+    alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("nid").alias("nid")).where("k = 1")
+    return alone.groupBy("nid").agg(F.count(F.lit(1)).cast("int").alias("lone"))
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node of each node's component, by label propagation with pointer jumping."""
+    """(nid, comp): the smallest node of each node's component, by label propagation with pointer jumping."""
     edges = materialise(links.union(links.select("b", "a")).distinct(), "links")
-    labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")).select("node", F.least("node", "comp").alias("comp")), "labels")
+    labels = materialise(edges.groupBy(F.col("a").alias("nid")).agg(F.min("b").alias("comp")).select("nid", F.least("nid", "comp").alias("comp")), "labels")
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        over = step.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        labels = materialise(step.join(over, "comp", "left").select("node", F.least("comp", "root").alias("comp"), (F.least("comp", "root") != F.col("old")).alias("moved")), "labels")
+        near = edges.join(labels.select(F.col("nid").alias("b"), "comp"), "b").groupBy(F.col("a").alias("nid")).agg(F.min("comp").alias("near"))
+        step = labels.join(near, "nid").select("nid", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
+        over = step.select(F.col("nid").alias("comp"), F.col("comp").alias("root"))
+        labels = materialise(step.join(over, "comp", "left").select("nid", F.least("comp", "root").alias("comp"), (F.least("comp", "root") != F.col("old")).alias("moved")), "labels")
         if labels.where("moved").isEmpty():
-            return labels.select("node", "comp")
+            return labels.select("nid", "comp")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
@@ -216,47 +231,60 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     signed = materialise(signatures(docs, size, bands, rows), "signatures")
     # One node for all rows of a shingle set, with the id of one of them to find its text by.
     nodes = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = materialise(nodes, "nodes")
-    spread = nodes.select("node", "n", F.explode("bands").alias("band"))
+    nodes = materialise(nodes.select("*", F.monotonically_increasing_id().alias("nid")), "nodes")
+    spread = nodes.select("nid", "n", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialise(spread.join(shared, "band"), "members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "id"), "node")
+    members = materialise(spread.join(shared, "band"), "shared-bands")
+    # The nodes that share the most lead: a group's original, or the copy nearest to it, does.
+    degree = members.groupBy("nid").agg(F.sum("size").alias("degree"))
+    members = materialise(members.drop("size").join(degree, "nid"), "members")
+    wanted = degree.join(nodes, "nid").select("nid", "node", "id")
     texts = null_safe(docs.select("doc_id", "text"), wanted.select(F.col("id").alias("doc_id")).distinct(), ["doc_id"], "left_semi")
-    shingles = materialise(texts.mapInArrow(_shingles(size), "node binary, shingles array<long>").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
+    shingles = texts.mapInArrow(_shingles(size), "node binary, shingles array<long>").join(wanted.select("node", "nid"), "node").drop("node")
+    shingles = materialise(shingles.dropDuplicates(["nid"]), "shingles")
 
-    links, labels, leaders = None, None, 1
-    tried = None
+    links, labels, tested, leaders, lone = None, None, None, 1, None
     while True:
-        now = members if labels is None else members.join(labels, "node", "left")
-        now = now.withColumn("comp", F.col("node") if labels is None else F.coalesce("comp", "node"))
-        # Buckets that hold more than one class still.
-        open_ = now.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("band")
-        now = now.join(open_, "band")
-        if tried is None:
-            lead = now.groupBy("band").agg(F.min(F.struct("node", "n")).alias("l")).select("band", F.col("l.node").alias("a"), F.col("l.n").alias("a_n"), F.col("l.node").alias("a_comp"))
-        else:
-            # Nodes outside the bucket's largest class lead next; those inside need no pair among themselves.
-            main = now.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.max(F.struct("k", "comp")).alias("m")).select("band", F.col("m.comp").alias("main"))
-            out = now.join(main, "band").where("comp != main").join(tried, ["band", "node"], "left_anti")
-            lead = out.withColumn("r", F.row_number().over(W.partitionBy("band").orderBy("node"))).where(F.col("r") <= leaders).select("band", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"))
-        lead = materialise(lead, "leaders")
-        if lead.isEmpty():
+        now = members.withColumn("comp", F.col("nid")) if labels is None else members.join(labels, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+        # Buckets that hold more than one class still, and the largest class of each.
+        by_class = now.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"), F.max("degree").alias("d"))
+        open_ = by_class.groupBy("band").agg(F.count(F.lit(1)).alias("classes"), F.sum("k").alias("size"), F.max(F.struct("k", "d", "comp")).alias("m")).where("classes > 1")
+        now = materialise(now.join(open_.select("band", "size", F.col("m.comp").alias("main")), "band").withColumn("inside", F.col("comp") == F.col("main")).drop("main"), "open-buckets")
+        largest = now.agg(F.max("size")).first()[0]
+        if largest is None:
             break
-        pairs = now.join(lead, "band").where((F.col("node") != F.col("a")) & (F.col("comp") != F.col("a_comp")))
-        pairs = pairs.where(F.least("n", "a_n") >= threshold * F.greatest("n", "a_n") - 1e-9).select("a", F.col("node").alias("b")).distinct()
-        found = materialise(verified(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), shingles, threshold), "verified")
-        links = found if links is None else links.union(found)
-        done = lead.select("band", F.col("a").alias("node"))
-        tried = done if tried is None else tried.union(done)
+        # Two nodes share at most the shingles that both have in common with anyone in an open bucket. This bound
+        # rules out the scattered relatives of a text without looking at their pairs.
+        if tested is None:
+            now = now.withColumn("common", F.col("n"))
+        else:
+            lone = lone if lone is not None else materialise(lone_shingles(shingles, now.select("nid").distinct()), "lone")
+            now = now.join(lone, "nid", "left").withColumn("common", F.col("n") - F.coalesce("lone", F.lit(0)))
+            now = now.where(F.col("common") >= threshold * F.col("n") - 1e-9)
+        enough = F.least("common", "b_common") * (1 + threshold) >= threshold * (F.col("n") + F.col("b_n")) - 1e-9
+        # Every pair of two classes has a node outside the bucket's largest class: that one is held against leaders
+        # of both sides. In the first round the largest class is the node that leads.
+        rank = F.row_number().over(W.partitionBy("band", "inside").orderBy(F.desc("degree"), "nid"))
+        lead = now.where("inside") if labels is None and tested is None else now
+        lead = lead.withColumn("r", rank).where(F.col("r") <= leaders).select("band", F.col("nid").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"), F.col("common").alias("b_common"))
+        pairs = now.where("not inside").join(lead, "band").where((F.col("comp") != F.col("b_comp")) & (F.least("n", "b_n") >= threshold * F.greatest("n", "b_n") - 1e-9) & enough)
+        pairs = pairs.select(F.least("nid", "b").alias("a"), F.greatest("nid", "b").alias("b")).distinct()
+        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        found = materialise(verified(pairs, shingles, threshold), "verified")
         if not found.isEmpty():
+            links = found if links is None else links.union(found)
             labels = components(links)
-        leaders *= 8
-    return _classes(signed, labels)
+        elif leaders >= largest:
+            break
+        leaders *= LEADERS
+    named = nodes.select("node", "nid") if labels is None else nodes.select("node", "nid").join(labels, "nid", "left")
+    named = named.select("node", F.col("nid").alias("comp") if labels is None else F.coalesce("comp", "nid").alias("comp"))
+    return _classes(signed, named)
 
 
-def _classes(signed: DataFrame, labels: DataFrame | None) -> DataFrame:
-    worded = signed.where("n > 0").select("doc_id", "h", "node")
-    named = worded.withColumn("comp", F.col("node")) if labels is None else worded.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+def _classes(signed: DataFrame, named: DataFrame) -> DataFrame:
+    named = signed.where("n > 0").select("doc_id", "h", "node").join(named, "node")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
     classes = named.groupBy("comp").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("class_size"))
     named = named.join(classes, "comp").select("doc_id", "h", F.col("first.doc_id").alias("class_id"), "class_size", (place == F.col("first")).alias("kept"))
