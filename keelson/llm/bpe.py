@@ -31,13 +31,16 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type as pa_type
 
-from .common import materialise, table
+from .batches import text_slices
+from .common import table
 
 CHUNK_TOKENS = 4_000_000
-SLICE_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
 BUCKETS = (64, 16_384)
+#: Words of a chunk that get the small numbers, most frequent first; the others are numbered as they are sent.
+FREQUENT = 1 << 16
 # White space as Unicode has it, for a matcher whose own \s is ASCII only.
 SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 MATCH = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+"
@@ -141,12 +144,12 @@ def _fast(texts: pa.Array, cut: str, end: str) -> tuple[pa.DictionaryArray, np.n
     return words, ends[of[1:]] - ends[of[:-1]]
 
 
-def _pack(**columns) -> bytes:
+def _pack(level: int = 3, **columns) -> bytes:
     """Arrays of any lengths, compressed."""
     names, arrays = zip(*columns.items())
     row = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a if isinstance(a, pa.Array) else pa.array(a)) for a in arrays], names)
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as w:
         w.write_batch(row)
     return sink.getvalue().to_pybytes()
 
@@ -157,20 +160,8 @@ def _unpack(blob: bytes) -> dict[str, pa.Array]:
     return {n: row.column(n).flatten() for n in row.schema.names}
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """(ids, texts) of at most about SLICE_BYTES, unless one text is longer."""
-    for b in batches:
-        texts = pc.fill_null(b.column("text"), "")
-        ends = np.cumsum(pc.binary_length(texts).to_numpy())
-        at = 0
-        while at < b.num_rows:
-            base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
-            yield b.column("doc_id").slice(at, to - at), texts.slice(at, to - at)
-            at = to
-
-
-BLOCK = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
+#: key: the bucket for words, and below 0 one of the chunk's own for its positions and answers.
+BLOCK = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("key", pa.int64()), ("payload", pa.binary())])
 
 
 def _explode(buckets: int):
@@ -180,9 +171,9 @@ def _explode(buckets: int):
         chunk = TaskContext.get().partitionId() << 32
         held: list = []
         tokens = 0
-        for ids, texts in _slices(batches):
+        for part, texts in text_slices(batches):
             words, counts = pre_tokens(texts)
-            held.append((ids, words, counts))
+            held.append((part.column("doc_id"), words, counts))
             tokens += len(words)
             if tokens >= CHUNK_TOKENS:
                 yield from _blocks(chunk, held, buckets)
@@ -199,44 +190,66 @@ def _blocks(chunk: int, held: list, buckets: int) -> Iterator[pa.RecordBatch]:
     dictionary = words.chunk(0).dictionary
     index = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in words.chunks])
     times = np.bincount(index, minlength=len(dictionary))
-    order = np.argsort(-times, kind="stable")[: np.count_nonzero(times)]  # small numbers for frequent words
+    used = np.flatnonzero(times)
+    # Words are sent bucket by bucket and sorted, in which order they and their ids take the least room.
+    names = np.array(dictionary.take(pa.array(used)).to_pylist(), object)
+    bucket = (pd.util.hash_array(names, categorize=False) % buckets).astype(np.int32) if len(used) else np.empty(0, np.int32)
+    alphabetical = pc.sort_indices(dictionary.take(pa.array(used))).to_numpy().astype(np.int64)
+    sent = alphabetical[np.argsort(bucket[alphabetical], kind="stable")]
+    place = np.empty(len(used), np.int64)
+    place[sent] = np.arange(len(used))
+    frequent = np.argsort(-times[used], kind="stable")[:FREQUENT]
     number = np.empty(len(dictionary), np.uint32)
-    number[order] = np.arange(len(order), dtype=np.uint32)
-    ranked = dictionary.take(pa.array(order))
-    bucket = (pd.util.hash_array(np.array(ranked.to_pylist(), object), categorize=False) % buckets).astype(np.int32) if len(order) else np.empty(0, np.int32)
+    number[used[sent]] = _numbers(place[frequent], len(used))
     planes = number[index].view(np.uint8).reshape(-1, 4)
-    # Sorted words, and the ids that answer them, take less room.
-    alphabetical = pc.sort_indices(ranked).to_numpy().astype(np.int64)
-    by = alphabetical[np.argsort(bucket[alphabetical], kind="stable")]
-    edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-    ids = pa.concat_arrays([i for i, _, _ in held])
-    position = _pack(ids=ids, counts=np.concatenate([c for _, _, c in held]), order=by.astype(np.uint32), **{f"b{k}": np.ascontiguousarray(planes[:, k]) for k in range(4)})
-    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([-1], pa.int32()), pa.array([position], pa.binary())], schema=BLOCK)
+    position = _pack(ids=pa.concat_arrays([i for i, _, _ in held]), counts=np.concatenate([c for _, _, c in held]), frequent=place[frequent].astype(np.uint32), words=np.array([len(used)]), **{f"b{k}": np.ascontiguousarray(planes[:, k]) for k in range(4)})
+    yield _block(chunk, -1, -1 - chunk, position)
+    edges = np.searchsorted(bucket[sent], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(edges)):
-        mine = ranked.take(pa.array(by[edges[b] : edges[b + 1]]))
-        yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([int(b)], pa.int32()), pa.array([_pack(words=mine)], pa.binary())], schema=BLOCK)
+        mine = [w.encode() for w in names[sent[edges[b] : edges[b + 1]]]]
+        yield _block(chunk, int(b), int(b), _pack(9, sizes=_narrow(np.fromiter(map(len, mine), np.int64, len(mine))), text=np.frombuffer(b"".join(mine), np.uint8)))
+
+
+def _numbers(frequent: np.ndarray, words: int) -> np.ndarray:
+    """The number of each word, in the order of sending, of which the frequent ones' places are given."""
+    out = np.full(words, -1, np.int64)
+    out[frequent] = np.arange(len(frequent))
+    rest = out < 0
+    out[rest] = len(frequent) + np.arange(int(rest.sum()))
+    return out
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Unsigned, of the fewest bytes."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _block(chunk: int, bucket: int, key: int, payload: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([bucket], pa.int32()), pa.array([key]), pa.array([payload], pa.binary())], schema=BLOCK)
 
 
 def _encode_words(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoding(ranks.value)._encode_single_piece
-        known: dict[str, list[int]] = {}
+        known: dict[bytes, list[int]] = {}
         now = None
         for b in batches:
             for chunk, bucket, payload in zip(*(b.column(k).to_pylist() for k in ("chunk", "bucket", "payload"))):
                 if bucket != now:
                     known, now = {}, bucket
+                words = _unpack(payload)
+                ends = np.cumsum(words["sizes"].to_numpy(), dtype=np.int64).tolist()
+                text = words["text"].to_numpy().tobytes()
                 lists = []
-                for w in _unpack(payload)["words"].to_pylist():
+                at = 0
+                for end in ends:
+                    w, at = text[at:end], end
                     if (got := known.get(w)) is None:
-                        got = known[w] = one(w.encode())
+                        got = known[w] = one(w)
                     lists.append(got)
-                sizes = np.fromiter(map(len, lists), np.uint32, len(lists))
+                sizes = np.fromiter(map(len, lists), np.int64, len(lists))
                 flat = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
-                low = np.uint16 if len(flat) == 0 or flat.max() < 65_536 else np.uint32
-                small = np.uint8 if len(sizes) == 0 or sizes.max() < 256 else np.uint32
-                answer = _pack(ids=flat.astype(low), sizes=sizes.astype(small))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([bucket], pa.int32()), pa.array([answer], pa.binary())], schema=BLOCK)
+                yield _block(chunk, bucket, -1 - chunk, _pack(9, sizes=_narrow(sizes), low=(flat & 255).astype(np.uint8), high=_narrow(flat >> 8)))
 
     return run
 
@@ -249,34 +262,19 @@ def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
 
 
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks in the order of chunk and bucket; a chunk's positions come first."""
-    position, answers = None, []
-    for b in batches:
-        for bucket, payload in zip(b.column("bucket").to_pylist(), b.column("payload")):
-            if bucket < 0:
-                if position is not None:
-                    yield from _documents(position, answers)
-                position, answers = _unpack(payload.as_py()), []
-            else:
-                answers.append((bucket, payload.as_py()))
-    if position is not None:
-        yield from _documents(position, answers)
-
-
-def _documents(position: dict[str, pa.Array], answers: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    by = position["order"].to_numpy()  # the order in which the words were sent, bucket by bucket
-    sizes, starts = np.zeros(len(by), np.int64), np.zeros(len(by), np.int64)
-    parts, at, done = [], 0, 0
-    for _, payload in answers:
+def _documents(position: dict[str, pa.Array], answers: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """A chunk's documents from its positions and the ids of its words, bucket by bucket."""
+    parts, lengths = [], []
+    for payload in answers:
         got = _unpack(payload)
-        n = got["sizes"].to_numpy().astype(np.int64)
-        mine = by[done : done + len(n)]
-        sizes[mine] = n
-        starts[mine] = at + np.cumsum(n) - n
-        parts.append(got["ids"].to_numpy().astype(np.uint32))
-        at, done = at + len(parts[-1]), done + len(n)
-    assert done == len(by), "a bucket's answer is missing"
+        lengths.append(got["sizes"].to_numpy().astype(np.int64))
+        parts.append(got["low"].to_numpy().astype(np.uint32) | got["high"].to_numpy().astype(np.uint32) << 8)
+    length = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
+    assert len(length) == position["words"][0].as_py(), "a bucket's answer is missing"
+    number = _numbers(position["frequent"].to_numpy(), len(length))
+    sizes, starts = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
+    sizes[number] = length
+    starts[number] = np.cumsum(length) - length
     flat = np.concatenate(parts) if parts else np.empty(0, np.uint32)
     words = np.column_stack([position[f"b{k}"].to_numpy() for k in range(4)]).view(np.uint32).reshape(-1)
     counts = position["counts"].to_numpy()
@@ -293,19 +291,15 @@ def _documents(position: dict[str, pa.Array], answers: list[tuple[int, bytes]])
         yield pa.RecordBatch.from_arrays([position["ids"].slice(a, b - a), blobs], ["doc_id", "ids"])
 
 
-def _decode(ranks):
-    """Adds the bytes that ids stand for to batches of documents."""
+@functools.lru_cache(2)
+def _pieces(ranks_file: bytes) -> dict[int, bytes]:
+    """The token-byte table."""
+    return {i: b for b, i in encoding(ranks_file)._mergeable_ranks.items()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(ranks.value)
-        piece = {i: enc.decode_single_token_bytes(i) for i in enc._mergeable_ranks.values()}.__getitem__
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                out = [b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) for x in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return run
+def _decoded(ids: pa.Array, ranks_file: bytes) -> pa.Array:
+    piece = _pieces(ranks_file).__getitem__
+    return pa.array([b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) for x in ids.to_pylist()], pa.binary())
 
 
 def _shipped(spark: SparkSession, ranks_path: str):
@@ -323,23 +317,35 @@ def encode(docs: DataFrame, ranks_path: str, decoded: bool = False) -> DataFrame
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = min(max(size // BUCKET_BYTES, BUCKETS[0]), BUCKETS[1])
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "chunk long, bucket int, payload binary"
+    schema = "chunk long, bucket int, key long, payload binary"
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    # Stored, so that the splitting is done once for the words and the positions.
-    blocks = materialise(docs.select("doc_id", "text").mapInArrow(_explode(buckets), schema), "bpe-blocks")
-    words = blocks.where("bucket >= 0").repartition(partitions, "bucket").sortWithinPartitions("bucket", "chunk")
-    answers = words.mapInArrow(_encode_words(ranks), schema)
-    rows = blocks.where("bucket < 0").unionByName(answers).repartition(partitions, "chunk").sortWithinPartitions("chunk", "bucket")
-    if not decoded:
-        return rows.mapInArrow(_assemble, f"doc_id {id_type}, ids binary")
-    add = _decode(ranks)
-    return rows.mapInArrow(lambda batches: add(_assemble(batches)), f"doc_id {id_type}, ids binary, decoded binary")
+    # One exchange deals out words and positions; both branches below read it, and positions stay where it puts them.
+    blocks = docs.select("doc_id", "text").mapInArrow(_explode(buckets), schema).repartition(partitions, "key")
+    # A filter that Spark takes for nondeterministic stays above the exchange, so that both find the same one.
+    only = lambda test: blocks.where(F.when(F.monotonically_increasing_id() >= 0, F.expr(test)))
+    answers = only("bucket >= 0").sortWithinPartitions("bucket", "chunk").mapInArrow(_encode_words(ranks), schema)
+
+    def assemble(position: pa.Table, answers: pa.Table) -> pa.Table:
+        found = _documents(_unpack(position["payload"][0].as_py()), answers.sort_by("bucket")["payload"].to_pylist())
+        rows = pa.Table.from_batches(found, out)
+        return rows.append_column("decoded", _decoded(rows["ids"], ranks.value)) if decoded else rows
+
+    out = pa.schema([("doc_id", pa_type(docs.schema["doc_id"].dataType)), ("ids", pa.binary())])
+    return only("bucket < 0").groupBy("key").cogroup(answers.groupBy("key")).applyInArrow(assemble, f"doc_id {id_type}, ids binary" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, ids, decoded binary: the bytes that the ids stand for."""
+    ranks = _shipped(encoded.sparkSession, ranks_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(part.column("ids"), ranks.value)], ["doc_id", "ids", "decoded"])
+
     id_type = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(_decode(_shipped(encoded.sparkSession, ranks_path)), f"doc_id {id_type}, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type}, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame, ranks_path: str) -> DataFrame:

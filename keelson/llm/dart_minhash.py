@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .batches import mix, text_slices
 from .common import materialise, null_safe, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
 #: At similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8**6)**24 = 0.9993, at 0.85 with 0.99999.
 BANDS, BAND_ROWS = 24, 6
-SLICE_BYTES = 8 << 20
 #: Leaders of a bucket grow by this factor from round to round.
 LEADERS = 8
 #: Up to so many pairs, the nodes in them are broadcast (16 bytes each); beyond, all shingles are shuffled.
@@ -53,13 +53,6 @@ LOWEST = -8  # the first layer of ranks is [0, 2**LOWEST)
 U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
 @functools.lru_cache(64)
 def _poisson(mean: float) -> np.ndarray:
     """Cumulative probabilities."""
@@ -146,18 +139,6 @@ def node_name(s: np.ndarray) -> bytes:
     return int(s.sum()).to_bytes(8, "big") + int(mix(s ^ U(0xA0761D6478BD642F)).sum()).to_bytes(8, "big")
 
 
-def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Rows whose texts have about SLICE_BYTES together, or one longer text."""
-    for b in batches:
-        texts = pc.fill_null(b.column("text"), "")
-        ends = np.cumsum(pc.binary_length(texts).to_numpy())
-        at = 0
-        while at < b.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
-            yield b.slice(at, to - at), texts.slice(at, to - at)
-            at = to
-
-
 def _signatures(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = mix(np.arange(1, rows + 1).astype(U) * U(0x9E3779B97F4A7C15)) | U(1)

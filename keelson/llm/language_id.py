@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .batches import mix, text_slices
 from .common import held_out, table
-from .dart_minhash import mix, text_slices
 
 DOCS_A_LANGUAGE = 150
 MAX_LANGUAGES = 200

@@ -34,8 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import mix, text_slices
 from .common import materialise, null_safe, table
-from .dart_minhash import mix, text_slices
 
 MIN_WORDS = 5
 #: Halves of long lines are cut at multiples of this, so that lines a word apart share the cut.

@@ -39,6 +39,8 @@ DEFAULT_WEIGHT = 1
 BLOCK_BYTES = 65_536
 #: Rows that one (source, cell) window takes on average.
 CELL_ROWS = 2_000
+#: Hexadecimal digits of a cell: beyond a million cells they grow instead of their number, which one window takes for each source.
+MAX_CELL_DIGITS = 5
 #: Sources that may be mixed; their weights and one period of the schedule are all that reaches the driver.
 MAX_SOURCES = 10_000
 MAX_PERIOD = 1_000_000
@@ -102,7 +104,7 @@ def schedule(docs: DataFrame, targets: Mapping[str, int], default_weight: int =
 
     # Offsets by cells of the order, so that a source of any size is dealt over many tasks.
     cells = max(1, sum(r["n"] for r in by_source) // CELL_ROWS)
-    digits = max(1, min(8, len(f"{cells - 1:x}")))
+    digits = max(1, min(MAX_CELL_DIGITS, len(f"{cells - 1:x}")))
     small = small.withColumn("cell", F.substring("ord", 1, digits))
     before = W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     starts = small.groupBy("source", "cell").agg(F.sum("size").alias("bytes")).select("source", "cell", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("before"))

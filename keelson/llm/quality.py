@@ -28,8 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import mix, text_slices
 from .common import held_out, materialise, table
-from .dart_minhash import mix, text_slices
 
 FEATURES = 128
 WIDTH = 3.0

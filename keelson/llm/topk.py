@@ -38,12 +38,13 @@ from .common import materialise, table
 BLOCK = 4096
 QUERY_BLOCK = 1024
 LISTS = 2
-LANES = 64
+#: Lanes of candidate blocks for each shuffle partition, and at least so many.
+LANES_A_PARTITION, LANES = 2, 64
 #: Integer components up to this size keep every sum below 2**53, where doubles are exact.
 LARGEST = 2**20
 
 
-def _pack(kind: str, size: int) -> Callable:
+def _pack(size: int) -> Callable:
     """Packs rows (id, vector, extra) into blocks of at most `size` vectors."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,11 +73,12 @@ def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, dims: int, sc
 
 
 def _pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    cand = candidates.mapInArrow(_pack("c", BLOCK), "ids binary, vectors binary, first long")
-    cand = cand.select(F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"), F.pmod(F.xxhash64("first"), F.lit(LANES)).cast("int").alias("lane"))
+    lanes = max(LANES, LANES_A_PARTITION * int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cand = candidates.mapInArrow(_pack(BLOCK), "ids binary, vectors binary, first long")
+    cand = cand.select(F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"), F.pmod(F.xxhash64("first"), F.lit(lanes)).cast("int").alias("lane"))
     schema = "ids binary, vectors binary, first long" + (", cutoffs binary" if "cutoffs" in queries.columns else "")
-    query = queries.mapInArrow(_pack("q", QUERY_BLOCK), schema).drop("first")
-    query = query.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
+    query = queries.mapInArrow(_pack(QUERY_BLOCK), schema).drop("first")
+    query = query.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     return cand.join(query, "lane")
 
 

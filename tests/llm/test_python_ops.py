@@ -188,6 +188,7 @@ def test_bpe_equals_the_library_and_round_trips(spark, sf, chunk, monkeypatch):
         want.append((i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert sorted([tuple(r) for r in got], key=repr) == sorted(want, key=repr)
     assert bpe.digests(documents(spark, rows).where("false"), RANKS).collect() == []
+    assert [r["n_tokens"] for r in bpe.digests(documents(spark, [(1, None), (2, "")]), RANKS).collect()] == [0, 0]
     apart = bpe.decode(bpe.encode(documents(spark, rows), RANKS), RANKS).collect()
     assert sorted(bytes(r["decoded"]).decode() for r in apart) == sorted(t or "" for _, t in rows)
 
