@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import uuid
 from functools import reduce
 
@@ -63,8 +64,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def _clean() -> None:
     for spark, path in _written:
+        if path.startswith(FALLBACK_DIR):
+            shutil.rmtree(path, ignore_errors=True)
         if spark.sparkContext._jsc is None:
-            return
+            continue
         try:
             _delete(spark, path)
         except Exception:  # the session may be gone; the files then stay for the cluster's own cleaning

@@ -174,7 +174,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     lines = materialise(_keyed(docs).mapInArrow(_lines, f"doc_id {kind}, h long, line int, k1 long, k2 long, halves array<long>"), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "line")
-    distinct = materialise(lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.first("halves").alias("halves")), "distinct-lines")
+    distinct = materialise(lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("times")), "distinct-lines")
 
     halves = distinct.select("k1", "k2", F.explode(F.array_distinct("halves")).alias("half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
@@ -197,8 +197,10 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     both = pairs.join(numbered, "id").join(numbered.select(F.col("id").alias("earlier"), F.col("words").alias("other")), "earlier").select("k1", "k2", "words", F.col("other").alias("earlier"))
     near = both.mapInArrow(_verify, "k1 long, k2 long").distinct().withColumn("near", F.lit(True))
 
-    verdict = distinct.select("k1", "k2", "first").join(near, ["k1", "k2"], "left")
-    gone = lines.select("doc_id", "h", "line", "k1", "k2").join(verdict, ["k1", "k2"]).where(F.col("near").isNotNull() | (place != F.col("first")))
+    # Stored, so that the exchanges on both sides of the last join are plain ones, which adaptive execution splits
+    # where a line is very frequent. Rows that repeat an id and its text may make times too large; place tells.
+    affected = materialise(distinct.select("k1", "k2", "first", "times").join(near, ["k1", "k2"], "left").where("times > 1 or near"), "affected-lines")
+    gone = lines.select("doc_id", "h", "line", "k1", "k2").join(affected, ["k1", "k2"]).where(F.col("near").isNotNull() | (place != F.col("first")))
     return gone.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
 
 
