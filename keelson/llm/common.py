@@ -10,8 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
-FALLBACK_DIR = "/tmp/checkpoints"
+from ..functions.position import FALLBACK_DIR
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -41,14 +41,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: unlike materialise() it keeps rows in their partitions, so later passes agree on them."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR)
-    return df.checkpoint()
-
-
 def discard(df: DataFrame) -> None:
     """Delete the scratch files behind a materialised table that nothing reads any more."""
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

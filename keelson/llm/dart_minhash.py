@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .batches import mix, text_slices
-from .common import materialise, null_safe, table
+from .common import discard, materialise, null_safe, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -202,7 +202,8 @@ def components(links: DataFrame) -> DataFrame:
         near = edges.join(labels.select(F.col("nid").alias("b"), "comp"), "b").groupBy(F.col("a").alias("nid")).agg(F.min("comp").alias("near"))
         step = labels.join(near, "nid").select("nid", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         over = step.select(F.col("nid").alias("comp"), F.col("comp").alias("root"))
-        labels = materialise(step.join(over, "comp", "left").select("nid", F.least("comp", "root").alias("comp"), (F.least("comp", "root") != F.col("old")).alias("moved")), "labels")
+        old, labels = labels, materialise(step.join(over, "comp", "left").select("nid", F.least("comp", "root").alias("comp"), (F.least("comp", "root") != F.col("old")).alias("moved")), "labels")
+        discard(old)
         if labels.where("moved").isEmpty():
             return labels.select("nid", "comp")
 
@@ -230,7 +231,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
         # Buckets that hold more than one class still, and the largest class of each.
         by_class = now.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"), F.max("degree").alias("d"))
         open_ = by_class.groupBy("band").agg(F.count(F.lit(1)).alias("classes"), F.sum("k").alias("size"), F.max(F.struct("k", "d", "comp")).alias("m")).where("classes > 1")
-        now = materialise(now.join(open_.select("band", "size", F.col("m.comp").alias("main")), "band").withColumn("inside", F.col("comp") == F.col("main")).drop("main"), "open-buckets")
+        now = now_stored = materialise(now.join(open_.select("band", "size", F.col("m.comp").alias("main")), "band").withColumn("inside", F.col("comp") == F.col("main")).drop("main"), "open-buckets")
         largest = now.agg(F.max("size")).first()[0]
         if largest is None:
             break
@@ -251,6 +252,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
         pairs = now.where("not inside").join(lead, "band").where((F.col("comp") != F.col("b_comp")) & (F.least("n", "b_n") >= threshold * F.greatest("n", "b_n") - 1e-9) & enough)
         pairs = pairs.select(F.least("nid", "b").alias("a"), F.greatest("nid", "b").alias("b")).distinct()
         pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        discard(now_stored)
         tested = pairs if tested is None else tested.union(pairs)
         found = materialise(verified(pairs, shingles, threshold), "verified")
         if not found.isEmpty():

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import pinned, table
+from ..functions.position import pinned
+from .common import table
 
 OVERHEAD = 16
 MAX_GROUP = 0.1
