@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     # One node for all rows of a shingle set, with the id of one of them to find its text by.
     nodes = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = materialise(nodes.select("*", F.monotonically_increasing_id().alias("nid")), "nodes")
-    spread = nodes.select("nid", "n", F.explode("bands").alias("band"))
+    spread = nodes.select("nid", "n", F.posexplode("bands").alias("nth", "band"))
     shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialise(spread.join(shared, "band"), "shared-bands")
     # The nodes that share the most lead: a group's original, or the copy nearest to it, does.
@@ -225,7 +225,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     shingles = texts.mapInArrow(_shingles(size), "node binary, shingles array<long>").join(wanted.select("node", "nid"), "node").drop("node")
     shingles = materialise(shingles.dropDuplicates(["nid"]), "shingles")
 
-    links, labels, tested, leaders, lone = None, None, None, 1, None
+    links, labels, tested, leaders, left_over = None, None, None, 1, None
+    done = 0  # leaders that have had their turn since classes last changed
     while True:
         now = members.withColumn("comp", F.col("nid")) if labels is None else members.join(labels, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
         # Buckets that hold more than one class still, and the largest class of each.
@@ -238,17 +239,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
         # Two nodes share at most the shingles that both have in common with anyone in an open bucket. This bound
         # rules out the scattered relatives of a text without looking at their pairs.
         if tested is None:
-            now = now.withColumn("common", F.col("n"))
+            now = now.withColumn("common", F.col("n")).withColumn("before", F.lit(None).cast("array<long>"))
         else:
-            lone = lone if lone is not None else materialise(lone_shingles(shingles, now.select("nid").distinct()), "lone")
-            now = now.join(lone, "nid", "left").withColumn("common", F.col("n") - F.coalesce("lone", F.lit(0)))
+            if left_over is None:
+                ids = now.select("nid").distinct()
+                left_over = nodes.select("nid", "bands").join(ids, "nid", "left_semi").join(lone_shingles(shingles, ids), "nid", "left")
+                left_over = materialise(left_over.select("nid", "bands", F.coalesce("lone", F.lit(0)).alias("lone")), "left-over")
+            now = now.join(left_over, "nid").withColumn("common", F.col("n") - F.col("lone")).withColumn("before", F.slice("bands", F.lit(1), F.col("nth")))
             now = now.where(F.col("common") >= threshold * F.col("n") - 1e-9)
         enough = F.least("common", "b_common") * (1 + threshold) >= threshold * (F.col("n") + F.col("b_n")) - 1e-9
+        # A pair comes up in the first band that it shares alone.
+        enough &= F.lit(True) if tested is None else ~F.arrays_overlap("before", "b_before")
         # Every pair of two classes has a node outside the bucket's largest class: that one is held against leaders
         # of both sides. In the first round the largest class is the node that leads.
         rank = F.row_number().over(W.partitionBy("band", "inside").orderBy(F.desc("degree"), "nid"))
         lead = now.where("inside") if labels is None and tested is None else now
-        lead = lead.withColumn("r", rank).where(F.col("r") <= leaders).select("band", F.col("nid").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"), F.col("common").alias("b_common"))
+        lead = lead.withColumn("r", rank).where((F.col("r") > done) & (F.col("r") <= leaders)).select("band", F.col("nid").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"), F.col("common").alias("b_common"), F.col("before").alias("b_before"))
         pairs = now.where("not inside").join(lead, "band").where((F.col("comp") != F.col("b_comp")) & (F.least("n", "b_n") >= threshold * F.greatest("n", "b_n") - 1e-9) & enough)
         pairs = pairs.select(F.least("nid", "b").alias("a"), F.greatest("nid", "b").alias("b")).distinct()
         pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -257,9 +263,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
         found = materialise(verified(pairs, shingles, threshold), "verified")
         if not found.isEmpty():
             links = found if links is None else links.union(found)
-            labels = components(links)
+            labels, done = components(links), 0
         elif leaders >= largest:
             break
+        else:
+            done = leaders
         leaders *= LEADERS
     named = nodes.select("node", "nid") if labels is None else nodes.select("node", "nid").join(labels, "nid", "left")
     named = named.select("node", F.col("nid").alias("comp") if labels is None else F.coalesce("comp", "nid").alias("comp"))
