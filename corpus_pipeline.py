@@ -14,7 +14,7 @@ from keelson.llm import bpe, dart_minhash, language_id, mixing, stream_dedup
 from keelson.llm.common import materialise, table
 
 #: A text of which no language has this share of the letters is rejected, as is one without letters.
-MIN_LANGUAGE_SCORE = 0.4
+MIN_LANGUAGE_SCORE = 0.3
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
