@@ -178,7 +178,7 @@ def _shingles(size: int):
 
 def verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
     """Of stored pairs (a, b), those whose exact Jaccard similarity is at least threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
+    ids = pairs.select(F.col("a").alias("nid")).distinct().union(pairs.select("b").distinct()).distinct()
     if pairs.count() <= BROADCAST_PAIRS:  # then only the shingles that are needed are shuffled
         shingles = shingles.join(F.broadcast(ids), "nid", "left_semi")
     left = shingles.select(F.col("nid").alias("a"), F.col("shingles").alias("s"))
