@@ -36,7 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(docs, RANKS)
+    """Token rows in the order of the mix: rows read from files have none, so it is worked out again."""
+    return mixing.in_order(bpe.digests(docs, RANKS), docs, "decoded_sha256")
 
 
 STAGES = [

@@ -133,6 +133,25 @@ def mix(docs: DataFrame, targets: Mapping[str, int] = TARGETS, default_weight: i
     return null_safe(keyed, placed, ["__id", "__source", "__hash", "__copy"], "inner").orderBy("__slot", "__rank").select(*docs.columns)
 
 
+def in_order(rows: DataFrame, docs: DataFrame, sha256: str, targets: Mapping[str, int] = TARGETS, default_weight: int = DEFAULT_WEIGHT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows made of docs, one each, in the order of the docs' schedule (a range sort).
+
+    rows has doc_id and, in the column sha256, the digest of the text, of which null is as
+    ''. Rows that agree in both may swap places. The schedule depends on the docs alone, so
+    it is the one that mix() followed.
+    """
+    text = F.coalesce("text", F.lit(""))
+    # schedule() hashes what it is given as text; the digest stands for the text beyond it.
+    digests = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.sha2(text, 256).alias("__sha")).distinct()
+    placed = null_safe(schedule(docs.withColumn("text", text), targets, default_weight, block_bytes), digests, ["doc_id", "text_hash"], "inner")
+    copy = W.partitionBy("__id", "__sha")
+    placed = placed.select(F.col("doc_id").alias("__id"), "__sha", F.col("slot").alias("__slot"), F.col("slot_rank").alias("__rank"))
+    placed = placed.withColumn("__copy", F.row_number().over(copy.orderBy("__slot", "__rank")))
+    keyed = rows.withColumns({"__id": F.col("doc_id"), "__sha": F.col(sha256)})
+    keyed = keyed.withColumn("__copy", F.row_number().over(copy.orderBy(F.lit(0))))
+    return null_safe(keyed, placed, ["__id", "__sha", "__copy"], "inner").orderBy("__slot", "__rank").select(*rows.columns)
+
+
 def op6_pfair_mixing(spark, sf_dir):
     return schedule(table(spark, sf_dir, "documents"), TARGETS).select("doc_id", "source", "size", "block", "slot", "slot_rank")
 

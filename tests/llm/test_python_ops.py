@@ -8,13 +8,14 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, dart_minhash, language_id, line_dedup, quality, sharding, topk
+from keelson.llm import bpe, dart_minhash, language_id, line_dedup, mixing, quality, sharding, topk
 from keelson.llm.common import held_out
 
 from .test_native_ops import LONG, documents
@@ -344,3 +345,32 @@ def test_pipeline_stages(spark, sf):
         assert docs.columns == (columns if name != c.STAGES[-1][0] else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
     assert n >= counts[0] >= counts[1] >= counts[2] == counts[3] == counts[4]
     assert c.run(spark, sf).count() == counts[-1]
+
+
+def test_pipeline_rows_follow_the_targets(spark, tmp_path):
+    """A source with a third of the rows makes a tenth of the output for as long as all sources last."""
+    import corpus_pipeline as c
+
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randrange(2, 9))) for _ in range(4000)]
+    sources = [f"src{k}" for k in range(1, 20) for _ in range(26)]
+    sources += ["src0"] * (len(sources) // 2)
+    rng.shuffle(sources)
+    docs = documents(spark, [(k, " ".join(rng.choices(vocab, k=2700))) for k in range(len(sources))], sources)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    size = {r["doc_id"]: len(r["text"]) for r in docs.collect()}
+    made = c.run(spark, str(tmp_path))
+    made.write.parquet(f"{tmp_path}/out")
+    for rows in (made.collect(), pq.ParquetDataset(sorted((tmp_path / "out").glob("part-*"))).read(["doc_id"]).to_pylist()):
+        got = [r["doc_id"] for r in rows]
+        assert sorted(got) == list(range(len(sources)))
+        slots = {r["doc_id"]: r for r in mixing.schedule(docs, mixing.TARGETS).collect()}
+        assert got == sorted(got, key=lambda i: (slots[i]["slot"], slots[i]["slot_rank"]))
+        last = max(n for n, i in enumerate(got) if slots[i]["balanced"])
+        assert last > 300
+        whole, done = sum(mixing.TARGETS.values()), dict.fromkeys(mixing.TARGETS, 0)
+        for i in got[: last + 1]:
+            done[sources[i]] += size[i]
+            # A block more or less, and the documents that reach over a block's end or wait in the slot at hand.
+            assert all(abs(d - mixing.TARGETS[s] * sum(done.values()) / whole) < 2 * mixing.BLOCK_BYTES for s, d in done.items())
+        assert abs(done["src0"] / sum(done.values()) - mixing.TARGETS["src0"] / whole) < 0.02
