@@ -13,6 +13,11 @@ Main path: DataFrame functions only.
   order that o can't be reached (positional filter). What is left is counted exactly.
 * Where a block meets two templates of which one's tokens include the other's, the wider
   template alone gives a label.
+* Notices that are wrapped over lines are found in runs of a template's length in words (and
+  an eighth and one more, for comment marks that are words) across line breaks, at every word.
+  The same filters hold: a run that matches holds a prefix token, so only runs about one are
+  looked at. Runs that touch a line which the template matches by itself are left out, and
+  of a template's runs that overlap the first is a block.
 
 Empty and null texts have no word and no label. Repeated rows each get their own row.
 """
@@ -84,16 +89,19 @@ def _template_rows(templates: Mapping[str, list[str]]) -> list[tuple[int, str, l
     return rows
 
 
+def _run_lengths(templates: Mapping[str, list[str]]) -> list[int]:
+    """The most words in which a template may stand across lines, in the order of _template_rows()."""
+    lengths = [len(re.findall("[a-z0-9]+", text.lower())) for _, texts in sorted(templates.items()) for text in texts]
+    return [n + n // 8 + 1 for n in lengths]
+
+
 def _literal(df: DataFrame, rows: list, schema: str) -> DataFrame:
     """A small fixed table as a plan of literals."""
     return df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
 
 
-def template_matches(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, text_hash, block, label, containment): every block and template at or over the threshold.
-
-    text_hash tells repeated ids apart; block counts a text's lines from 0.
-    """
+def _plan(docs: DataFrame, templates: Mapping[str, list[str]], threshold: float) -> tuple[list[dict], list[dict], dict[str, int]]:
+    """The templates with their tokens in the global order, their prefix tokens, and that order."""
     rows = _template_rows(templates)
     vocabulary = sorted({t for _, _, tokens in rows for t in tokens})
     vocab = F.array(*[F.lit(t) for t in vocabulary])
@@ -109,6 +117,15 @@ def template_matches(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPL
         wider = [other for other, _, more in rows if set(tokens) < set(more)]
         whole.append({"tid": tid, "label": label, "tokens": ordered, "m": len(ordered), "need": need, "wider": wider})
         prefixes += [{"token": t, "tid": tid, "pos": k} for k, t in enumerate(ordered[: len(ordered) - need + 1])]
+    return whole, prefixes, order
+
+
+def template_matches(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, plan: tuple | None = None) -> DataFrame:
+    """(doc_id, text_hash, block, label, containment): every block and template at or over the threshold.
+
+    text_hash tells repeated ids apart; block counts a text's lines from 0.
+    """
+    whole, prefixes, order = plan or _plan(docs, templates, threshold)
     prefix_tokens = sorted({p["token"] for p in prefixes})
     index = _literal(docs, prefixes, "array<struct<token:string,tid:int,pos:int>>")
     templates_df = _literal(docs, whole, "array<struct<tid:int,label:string,tokens:array<string>,m:int,need:int,wider:array<int>>>")
@@ -141,6 +158,69 @@ def template_matches(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPL
     return by_block.select("doc_id", "text_hash", "block", F.explode(kept).alias("m")).select("doc_id", "text_hash", "block", "m.label", "m.containment")
 
 
+def wrapped_matches(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, plan: tuple | None = None) -> DataFrame:
+    """(doc_id, text_hash, block, label, containment): templates that no line holds, in runs across lines.
+
+    block is the line in which the run begins; of runs that overlap, the first one counts.
+    """
+    whole, prefixes, order = plan or _plan(docs, templates, threshold)
+    for t, most in zip(whole, _run_lengths(templates)):
+        t["most"] = most
+        t["prefix"] = [p["token"] for p in prefixes if p["tid"] == t["tid"]]
+    fields = "tid:int,label:string,tokens:array<string>,m:int,need:int,most:int,prefix:array<string>"
+    plain = [{k: v for k, v in t.items() if k != "wider"} for t in whole]
+    for t, row in zip(whole, plain):
+        row["wider"] = [plain[w] for w in t["wider"]]
+    literal = F.from_json(F.lit(json.dumps(plain)), f"array<struct<{fields},wider:array<struct<{fields}>>>>")
+    vocab = F.array(*[F.lit(t) for t in sorted(order, key=order.__getitem__)])
+    # A text holds what its runs hold, so the filters on whole texts leave few candidates. The row's
+    # number keeps Spark from putting the words of a text into each use of them.
+    texts = (
+        docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+        .where(F.col("text").rlike("(?i)" + "|".join(sorted({p["token"] for p in prefixes}))))
+        .where(F.instr("text", "\n") > 0)
+        .withColumn("known", F.array_intersect(vocab, words(F.col("text"))))
+        .withColumn("row", F.monotonically_increasing_id())
+    )
+    held = lambda t: F.arrays_overlap("known", t["prefix"]) & (F.size(F.array_intersect("known", t["tokens"])) >= t["need"])
+    found = texts.withColumn("met", F.filter(literal, held)).where(F.size("met") > 0)
+    lines = F.transform(F.split("text", "\n"), lambda line, n: F.transform(words(line), lambda w: F.struct(n.alias("line"), w.alias("word"))))
+    found = found.select("doc_id", "text_hash", "row", "met", F.flatten(lines).alias("seq")).withColumn("again", F.monotonically_increasing_id())
+    near = found.select("doc_id", "text_hash", "row", "seq", F.explode("met").alias("t"))
+    # Runs of wider templates about the same place count too, so the neighbourhood is theirs in width.
+    reach = F.greatest(F.col("t.most"), F.coalesce(F.array_max(F.transform("t.wider", lambda w: w["most"])), F.lit(0)))
+    near = near.select("doc_id", "text_hash", "row", "t", reach.alias("reach"), "seq")
+    low = lambda at: F.greatest(F.lit(0), at - F.col("reach"))
+    around = lambda at: F.slice("seq", low(at) + 1, at - low(at) + F.col("reach") + 1)
+    overlap = lambda part, t: F.size(F.array_intersect(part["word"], t["tokens"]))
+    # Only neighbourhoods leave a text; a copy of the text for each of its words would not fit in memory.
+    spots = F.filter(F.sequence(F.lit(0), F.size("seq") - 1), lambda at: F.array_contains("t.prefix", F.get("seq", at)["word"]) & (overlap(around(at), F.col("t")) >= F.col("t.need")))
+    near = near.select("doc_id", "text_hash", "row", "t", F.explode(F.transform(spots, lambda at: F.struct(low(at).alias("low"), around(at).alias("seq")))).alias("spot"))
+    near = near.select("doc_id", "text_hash", "row", "t", F.col("spot.low").alias("low"), F.col("spot.seq").alias("seq"))
+
+    def runs(t: Column) -> Column:
+        """Runs of t that start with one of its tokens and hold enough of them: (from, till, first, last, overlap)."""
+        run = lambda i: F.slice("seq", i + 1, t["most"])
+        starts = F.filter(F.sequence(F.lit(0), F.size("seq") - 1), lambda i: F.array_contains(t["tokens"], F.get("seq", i)["word"]) & (overlap(run(i), t) >= t["need"]))
+        return F.transform(starts, lambda i: F.struct((F.col("low") + i).alias("from"), overlap(run(i), t).alias("overlap"), run(i).alias("run")))
+
+    near = near.where(~F.exists("t.wider", lambda w: F.size(runs(w)) > 0)).select("doc_id", "text_hash", "row", "t", F.explode(runs(F.col("t"))).alias("r"))
+    # The run ends where it first holds all that it does.
+    ends = F.filter(F.sequence(F.lit(1), F.size("r.run")), lambda k: overlap(F.slice("r.run", 1, k), F.col("t")) == F.col("r.overlap"))
+    near = near.withColumn("n", F.get(ends, F.lit(0))).withColumn("run", F.slice("r.run", 1, F.col("n")))
+    own = F.filter("run", lambda x: F.array_contains("t.tokens", x["word"]))
+    near = near.select("doc_id", "text_hash", "row", "t", F.col("r.from").alias("from"), F.col("r.overlap").alias("overlap"), own.alias("own"), "n")
+    by_line = F.transform(F.array_distinct("own.line"), lambda n: F.size(F.array_distinct(F.filter("own", lambda x: x["line"] == n)["word"])))
+    near = near.where((F.size(by_line) > 1) & (F.array_max(by_line) < F.col("t.need")))
+    run = near.select("doc_id", "text_hash", "row", F.col("t.tid").alias("tid"), F.col("t.label").alias("label"), "from", (F.col("from") + F.col("n")).alias("till"), F.get("own", F.lit(0))["line"].cast("int").alias("line"), (F.col("overlap") / F.col("t.m")).alias("containment"))
+    # Of runs that overlap, the first in the text counts; a list holds one text's runs of one template.
+    each = run.groupBy("doc_id", "text_hash", "row", "tid").agg(F.first("label").alias("label"), F.array_sort(F.collect_set(F.struct("from", "till", "line", "containment"))).alias("runs"))
+    none = F.slice("runs", 1, 0)
+    apart = F.aggregate("runs", none, lambda done, x: F.when(F.coalesce(F.element_at(F.concat(F.array(F.lit(0)), done["till"]), -1), F.lit(0)) <= x["from"], F.concat(done, F.array(x))).otherwise(done))
+    notice = each.select("doc_id", "text_hash", "label", F.explode(apart).alias("x")).select("doc_id", "text_hash", F.col("x.line").alias("block"), "label", F.col("x.containment").alias("containment"))
+    return notice.select("doc_id", "text_hash", "block", "label", "containment")
+
+
 def scan_licenses(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row a document: word count, phrase places, and the labels of phrases and templates.
 
@@ -149,8 +229,10 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATE
     score double (1 for a phrase place, else the best containment, else 0), n_blocks long.
     """
     docs = docs.select("doc_id", "text")
+    plan = _plan(docs, templates, threshold)
     matched = (
-        template_matches(docs, templates, threshold)
+        template_matches(docs, templates, threshold, plan)
+        .union(wrapped_matches(docs, templates, threshold, plan))
         .groupBy("doc_id", "text_hash")
         .agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"), F.count_distinct("block").alias("n_blocks"))
     )

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import string
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +63,31 @@ def test_template_join_equals_all_pairs(spark):
         assert got == want
 
 
+def test_wrapped_templates_are_found(spark):
+    """Every template, wrapped at 72 columns behind comment marks and after 0 to 60 columns of another word, gets the labels that it has on one line."""
+    flat = [(label, notice) for label, notices in license_scan.TEMPLATES.items() for notice in notices]
+    whole = {r["doc_id"]: set(r["labels"].split(",")) for r in license_scan.scan_licenses(documents(spark, [(k, x) for k, (_, x) in enumerate(flat)])).collect()}
+    one_line = {x: whole[k] for k, (_, x) in enumerate(flat)}
+    texts, want = [], []
+    for label, notices in license_scan.TEMPLATES.items():
+        for notice in notices:
+            for mark in ("", "# ", "// ", " * ", "dnl "):
+                for ahead in (0, 40, 60):
+                    lines = textwrap.wrap("x" * ahead + " " + notice, 72 - len(mark), break_on_hyphens=False)
+                    texts.append("\n".join(["int main;", *[mark + x for x in lines], "return 0;"]))
+                    want.append((one_line[notice], one_line[notice] | {label}))
+    texts += ["Permission is hereby granted, free\n" + "other words " * 40 + "\nof charge, to any person obtaining a copy of this software and associated documentation files"]
+    texts += ["Permission is hereby granted, free of charge, to any person obtaining a copy of\nthis software and associated documentation files\n" * 2, None, ""]
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(documents(spark, list(enumerate(texts)))).collect()}
+    # A line that holds enough of a narrower template keeps its label.
+    missed = [(texts[k], least, got[k]) for k, (least, most) in enumerate(want) if not least <= set(got[k]["labels"].split(",")) <= most or got[k]["score"] < 0.9 or not 1 <= got[k]["n_blocks"] <= 2]
+    assert not missed
+    n = len(want)
+    assert got[n]["labels"] == "" and got[n]["score"] == 0
+    assert got[n + 1]["labels"] == "mit" and got[n + 1]["n_blocks"] == 2
+    assert got[n + 2]["labels"] == got[n + 3]["labels"] == ""
+
+
 def test_pfair_keeps_every_source_within_a_block():
     for weights in ([1], [1, 1], [3, 2, 1], [10, 1, 1, 7], [1] * 20, list(mixing.TARGETS.values())):
         done, total = [0] * len(weights), sum(weights)
