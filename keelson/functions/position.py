@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only by local masters whose session names no shared folder, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, else the one that setCheckpointDir() was given.
+
+    Where there is neither, a local master gets FALLBACK_DIR; a cluster is refused, since no
+    machine's own folder is right there.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named and sc.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or FALLBACK_DIR).rstrip("/")
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, which keeps rows in their partitions when tasks run again."""
     sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
