@@ -11,12 +11,13 @@ STATE_CONF = {
 }
 
 
-def drain(aggregated: DataFrame, checkpoint: str) -> DataFrame:
+def drain(aggregated: DataFrame, checkpoint: str, path: str) -> DataFrame:
     """Runs a streaming aggregation over what its source holds by now; returns its whole state.
 
     The rows are (key, value), structs of the grouping columns and of the aggregates' buffers in
-    their order. checkpoint: a folder that all executors share; a later call with it goes on
-    from the state that this one leaves.
+    their order, read out once into Parquet at path, since every reader would load the state's
+    files anew. checkpoint: a folder that all executors share; a later call with it goes on from
+    the state that this one leaves.
     """
     spark = aggregated.sparkSession
     before = {key: spark.conf.get(key, None) for key in STATE_CONF}
@@ -25,7 +26,9 @@ def drain(aggregated: DataFrame, checkpoint: str) -> DataFrame:
     try:
         query = aggregated.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
+        state = spark.read.format("statestore").load(checkpoint).select("key", "value")
+        state.write.option("compression", "zstd").parquet(path)
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    return spark.read.format("statestore").load(checkpoint).select("key", "value")
+    return spark.read.schema(state.schema).parquet(path)
