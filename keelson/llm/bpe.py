@@ -34,11 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type as pa_type
 
 from .batches import text_slices
-from .common import table
+from .common import stored, table
 
 CHUNK_TOKENS = 4_000_000
 BUCKET_BYTES = 8 << 20
 BUCKETS = (64, 16_384)
+#: Input that a task of the exchange takes, where the session's number of shuffle partitions gives each more.
+PARTITION_BYTES = 32 << 20
 #: Words of a chunk that get the small numbers, most frequent first; the others are numbered as they are sent.
 FREQUENT = 1 << 16
 # White space as Unicode has it, for a matcher whose own \s is ASCII only.
@@ -311,16 +313,18 @@ def encode(docs: DataFrame, ranks_path: str, decoded: bool = False) -> DataFrame
     """doc_id, ids binary: the ids of each text as little-endian unsigned 32-bit integers.
 
     ranks_path: a .tiktoken file that the driver reads. decoded: add the ids' bytes, as
-    decode() does, in the same task.
+    decode() does, in the same task. doc_id may be of any type, also a struct.
     """
     ranks = _shipped(docs.sparkSession, ranks_path)
+    # Chunks are made of the rows that a task sees, so it must see the same ones when it runs again.
+    docs = stored(docs.select("doc_id", "text"), "bpe-input")
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = min(max(size // BUCKET_BYTES, BUCKETS[0]), BUCKETS[1])
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
     schema = "chunk long, bucket int, key long, payload binary"
     id_type = docs.schema["doc_id"].dataType.simpleString()
     # One exchange deals out words and positions; both branches below read it, and positions stay where it puts them.
-    blocks = docs.select("doc_id", "text").mapInArrow(_explode(buckets), schema).repartition(partitions, "key")
+    blocks = docs.mapInArrow(_explode(buckets), schema).repartition(partitions, "key")
     # A filter that Spark takes for nondeterministic stays above the exchange, so that both find the same one.
     only = lambda test: blocks.where(F.when(F.monotonically_increasing_id() >= 0, F.expr(test)))
     answers = only("bucket >= 0").sortWithinPartitions("bucket", "chunk").mapInArrow(_encode_words(ranks), schema)

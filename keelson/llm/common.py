@@ -8,9 +8,10 @@ import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.position import FALLBACK_DIR
+from ..functions.position import FALLBACK_DIR, shared_dir
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -21,22 +22,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that every executor and the driver can reach."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR
-    path = f"{base.rstrip('/')}/keelson/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/keelson/{name}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back.
 
     The files outlive any executor, so later stages restart from them instead of
-    recomputing; they go when the driver ends, or earlier through discard().
+    recomputing; they go when the driver ends, or earlier through discard(). At a path that
+    the caller names they stay.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -66,6 +67,61 @@ def _clean() -> None:
             return
 
 
+def _own_rows(docs: DataFrame, filters: bool) -> bool:
+    """Whether docs are the rows of Parquet files, each listed once, under columns (and filters) alone."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "SubqueryAlias", "View", *["Filter"] * filters):
+        if not plan.deterministic():
+            return False
+        plan = plan.children().apply(0)
+    if plan.nodeName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    paths = list(plan.relation().location().inputFiles())
+    return plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat" and len(set(paths)) == len(paths)
+
+
+def stored(docs: DataFrame, name: str, path: str | None = None, filters: bool = True) -> DataFrame:
+    """docs, or a stored copy where a task that runs again might see other rows or another order, or files repeat."""
+    return docs if _own_rows(docs, filters) else materialise(docs, name, path)
+
+
+def place() -> Column:
+    """File and row number of a row of stored(): no two rows have the same."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def in_file_order(docs: DataFrame, name: str) -> DataFrame:
+    """docs with their number, from 0, in the order in which their files were written: by part, then row."""
+    docs = stored(docs, "ordered", filters=False).select("*", place().alias("__place"))
+    files = docs.groupBy("__place.file").agg((F.max("__place.row") + 1).alias("__n"))
+    part = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("long")
+    before = F.sum("__n").over(W.orderBy(part, "file").rowsBetween(W.unboundedPreceding, -1))
+    # One row a file.
+    starts = files.select("file", F.coalesce(before, F.lit(0)).alias("__before"))
+    placed = docs.withColumn("__file", F.col("__place.file")).join(F.broadcast(starts).withColumnRenamed("file", "__file"), "__file")
+    return placed.withColumn(name, F.col("__before") + F.col("__place.row")).drop("__file", "__place", "__before")
+
+
+#: Bits of flagged()'s map: 16 MB, whatever the input.
+MAP_BITS, CHUNK_BITS = 27, 15
+
+
+def flagged(rows: DataFrame, key: Column, members: DataFrame, member_key: Column) -> DataFrame:
+    """rows with __maybe: false where the key is none of the members', so that only the others need a join.
+
+    A map of 2**MAP_BITS bits, which is all that is broadcast, marks the members' hashes. With
+    more members than bits nearly all rows are flagged; nothing else changes.
+    """
+    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(1 << MAP_BITS))
+    marked = members.select(slot(member_key).alias("__slot"))
+    chunk, inside = F.shiftright("__slot", CHUNK_BITS), F.col("__slot").bitwiseAND(F.lit((1 << CHUNK_BITS) - 1))
+    chunks = materialise(marked.groupBy(chunk.alias("__chunk")).agg(F.bitmap_construct_agg(inside).alias("__bits")), "member-map")
+    rows = rows.withColumn("__slot", slot(key)).withColumn("__chunk", chunk).join(F.broadcast(chunks), "__chunk", "left")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.shiftright(inside, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("bit_get", byte, inside.bitwiseAND(F.lit(7)).cast("int"))
+    return rows.withColumn("__maybe", F.coalesce(bit == 1, F.lit(False))).drop("__slot", "__chunk", "__bits")
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold that no model sees: crc32 of the id's decimal text leaves 2 modulo 4. A null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

@@ -9,15 +9,16 @@ and at every slot each source has had less than one block more or less than its
 schedule repeats with the period, so one period is worked out once, from the weights alone,
 and block j of source i stands at slot (j div a_i) * P + the slot of its block j mod a_i.
 
-A source's documents are taken in the order of md5(doc_id); block j holds those that start
-in its j-th block_bytes bytes. A very long document leaves the blocks that it spans empty,
-so the balance is one of bytes. Where a source has run out, its slots fall away and the
+A source's documents are taken in the order of md5(doc_id, md5(text)); block j holds those
+that start in its j-th block_bytes bytes. A very long document leaves the blocks that it spans
+empty, so the balance is one of bytes. Where a source has run out, its slots fall away and the
 others go on: no row is dropped or repeated. `balanced` marks slots before the first end
 of a source, over which the less-than-one-block bound holds.
 
 Defined results: a null source is a source of its own; a null text has no bytes (each
-document counts at least 1); rows with the same id are ordered by text hash, and equal rows
-get adjacent positions in any order. Weights missing for a source are default_weight.
+document counts at least 1); rows with the same id and text are ordered by file and row
+number. Weights missing for a source are default_weight. Over MAX_SOURCES sources or
+MAX_PERIOD slots a period are refused, as one period is worked out on the driver.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ from collections.abc import Mapping
 from math import gcd
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from .common import materialise, null_safe, table
+from ..functions.position import running_total
+from .common import materialise, null_safe, place, stored, table
 
 #: Target weights of the query: the large source is held to a tenth, the others share the rest by quality tier.
 TARGETS = {"src0": 10, **{f"src{k}": (6, 4, 5, 4)[k % 4] for k in range(1, 20)}}
@@ -68,39 +70,34 @@ def pfair_period(weights: list[int]) -> list[tuple[int, int, int]]:
 
 
 def schedule(docs: DataFrame, targets: Mapping[str, int], default_weight: int = DEFAULT_WEIGHT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row a document: doc_id, source, text_hash, size, block, slot, position long (from 0, gapless), balanced boolean."""
+    """One row a document: doc_id, source, size, block, slot, slot_rank, position long (from 0, gapless), balanced boolean, place.
+
+    place is the row's file and number where docs are rows of files, else in a stored copy.
+    """
     if default_weight < 1 or any(w < 1 for w in targets.values()):
         raise ValueError("weights are positive integers")
-    size = F.greatest(F.lit(1), F.coalesce(F.octet_length("text"), F.lit(0))).cast("long")
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    small = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("text_hash"), order.alias("ord"))
-    small = materialise(small, "mix-rows")
+    text = F.coalesce("text", F.lit(""))
+    size = F.greatest(F.lit(1), F.octet_length(text)).cast("long")
+    order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text)))
+    docs = stored(docs, "mix-input")
+    small = materialise(docs.select("doc_id", "source", size.alias("size"), order.alias("ord"), place().alias("place")), "mix-rows")
 
     by_source = small.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).limit(MAX_SOURCES + 1).collect()
     if len(by_source) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources")
-    if not by_source:
-        by_source_rows: list = []
-        plan: list = []
-        end = 0
-    else:
-        by_source.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-        weights = [targets.get(r["source"], default_weight) for r in by_source]
-        common = gcd(*weights)
-        weights = [w // common for w in weights]
-        period = sum(weights)
-        by_source_rows = [{"source": r["source"], "number": i, "weight": w, "period": period} for i, (r, w) in enumerate(zip(by_source, weights))]
-        plan = [{"slot_in": s, "number": i, "block_in": j} for s, i, j in pfair_period(weights)]
-        # Slot after the last block of the source that ends first.
-        ends = []
-        at = {(i, j): s for s, i, j in pfair_period(weights)}
-        for i, (r, w) in enumerate(zip(by_source, weights)):
-            last = max(0, (r["bytes"] - 1) // block_bytes)
-            ends.append(last // w * period + at[i, last % w] + 1)
-        end = min(ends)
+    by_source.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
+    weights = [targets.get(r["source"], default_weight) for r in by_source]
+    common = gcd(*weights) or 1
+    weights = [w // common for w in weights]
+    period = sum(weights)
+    plan = pfair_period(weights)
+    at = {(i, j): s for s, i, j in plan}
+    # Slot after the last block of the source that ends first.
+    last = [max(0, (r["bytes"] - 1) // block_bytes) for r in by_source]
+    end = min((b // w * period + at[i, b % w] + 1 for i, (b, w) in enumerate(zip(last, weights))), default=0)
     literal = lambda rows, schema: docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
-    sources = literal(by_source_rows, "array<struct<source:string,number:int,weight:long,period:long>>")
-    period_rows = literal(plan, "array<struct<slot_in:long,number:int,block_in:long>>")
+    sources = literal([{"source": r["source"], "number": i, "weight": w, "period": period} for i, (r, w) in enumerate(zip(by_source, weights))], "array<struct<source:string,number:int,weight:long,period:long>>")
+    period_rows = literal([{"slot_in": s, "number": i, "block_in": j} for s, i, j in plan], "array<struct<slot_in:long,number:int,block_in:long>>")
 
     # Offsets by cells of the order, so that a source of any size is dealt over many tasks.
     cells = max(1, sum(r["n"] for r in by_source) // CELL_ROWS)
@@ -108,72 +105,58 @@ def schedule(docs: DataFrame, targets: Mapping[str, int], default_weight: int =
     small = small.withColumn("cell", F.substring("ord", 1, digits))
     before = W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     starts = small.groupBy("source", "cell").agg(F.sum("size").alias("bytes")).select("source", "cell", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("before"))
-    inside = W.partitionBy("source", "cell").orderBy("ord", "doc_id", "text_hash", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "cell").orderBy("ord", "place").rowsBetween(W.unboundedPreceding, -1)
     rows = null_safe(small.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))), starts, ["source", "cell"], "inner")
-    rows = rows.select("doc_id", "source", "size", "text_hash", "ord", (F.col("before") + F.col("inside")).alias("start"))
+    rows = rows.select("doc_id", "source", "size", "place", (F.col("before") + F.col("inside")).alias("start"))
     rows = rows.withColumn("block", F.floor(F.col("start") / block_bytes))
     # Both tables have a fixed bound: MAX_SOURCES and MAX_PERIOD rows.
     rows = null_safe(rows, F.broadcast(sources), ["source"], "inner").withColumn("block_in", F.col("block") % F.col("weight"))
     rows = rows.join(F.broadcast(period_rows), ["number", "block_in"])
-    slot = F.floor(F.col("block") / F.col("weight")) * F.col("period") + F.col("slot_in")
-    rows = rows.withColumn("slot", slot)
+    rows = rows.withColumn("slot", F.floor(F.col("block") / F.col("weight")) * F.col("period") + F.col("slot_in"))
     # A slot is one block, so under block_bytes rows of one source; starts differ within it.
-    rank = F.row_number().over(W.partitionBy("slot").orderBy("start"))
-    return rows.select("doc_id", "source", "text_hash", "size", "block", "slot", rank.alias("slot_rank"), (F.col("slot") < end).alias("balanced"))
+    rows = rows.withColumn("slot_rank", F.row_number().over(W.partitionBy("slot").orderBy("start")))
+    filled = running_total(rows.groupBy("slot").agg(F.count(F.lit(1)).alias("n")), "slot", "n", "upto").select("slot", (F.col("upto") - F.col("n")).alias("ahead"))
+    rows = rows.join(filled, "slot")
+    return rows.select("doc_id", "source", "size", "block", "slot", "slot_rank", (F.col("ahead") + F.col("slot_rank") - 1).alias("position"), (F.col("slot") < end).alias("balanced"), "place")
 
 
 def mix(docs: DataFrame, targets: Mapping[str, int] = TARGETS, default_weight: int = DEFAULT_WEIGHT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All rows of docs with their columns, in the order of the schedule (a range sort)."""
-    placed = schedule(docs, targets, default_weight, block_bytes)
-    # Rows that agree in id, source and text hash may swap places.
-    copy = W.partitionBy("doc_id", "source", "text_hash")
-    placed = placed.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), F.col("slot").alias("__slot"), F.col("slot_rank").alias("__rank"), F.row_number().over(copy.orderBy("slot", "slot_rank")).alias("__copy"))
-    keyed = docs.withColumns({"__id": F.col("doc_id"), "__source": F.col("source"), "__hash": F.xxhash64("text")})
-    keyed = keyed.withColumn("__copy", F.row_number().over(W.partitionBy("__id", "__source", "__hash").orderBy(F.lit(0))))
-    return null_safe(keyed, placed, ["__id", "__source", "__hash", "__copy"], "inner").orderBy("__slot", "__rank").select(*docs.columns)
-
-
-def in_order(rows: DataFrame, docs: DataFrame, sha256: str, targets: Mapping[str, int] = TARGETS, default_weight: int = DEFAULT_WEIGHT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows made of docs, one each, in the order of the docs' schedule (a range sort).
-
-    rows has doc_id and, in the column sha256, the digest of the text, of which null is as
-    ''. Rows that agree in both may swap places. The schedule depends on the docs alone, so
-    it is the one that mix() followed.
-    """
-    text = F.coalesce("text", F.lit(""))
-    # schedule() hashes what it is given as text; the digest stands for the text beyond it.
-    digests = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.sha2(text, 256).alias("__sha")).distinct()
-    placed = null_safe(schedule(docs.withColumn("text", text), targets, default_weight, block_bytes), digests, ["doc_id", "text_hash"], "inner")
-    copy = W.partitionBy("__id", "__sha")
-    placed = placed.select(F.col("doc_id").alias("__id"), "__sha", F.col("slot").alias("__slot"), F.col("slot_rank").alias("__rank"))
-    placed = placed.withColumn("__copy", F.row_number().over(copy.orderBy("__slot", "__rank")))
-    keyed = rows.withColumns({"__id": F.col("doc_id"), "__sha": F.col(sha256)})
-    keyed = keyed.withColumn("__copy", F.row_number().over(copy.orderBy(F.lit(0))))
-    return null_safe(keyed, placed, ["__id", "__sha", "__copy"], "inner").orderBy("__slot", "__rank").select(*rows.columns)
+    """All rows of docs with their columns, in the order of the schedule over partitions and files."""
+    docs = stored(docs, "mix-docs")
+    placed = materialise(schedule(docs, targets, default_weight, block_bytes).select(F.col("place").alias("__place"), F.col("position").alias("__position")), "mix-places")
+    lanes = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, placed.count())
+    mixed = docs.withColumn("__place", place()).join(placed, "__place")
+    # Positions have no gap, so lanes of equal rows need no sample of them.
+    mixed = mixed.repartitionById(lanes, F.floor(F.col("__position") * lanes / n).cast("int"))
+    return mixed.sortWithinPartitions("__position").select(*docs.columns)
 
 
 def op6_pfair_mixing(spark, sf_dir):
-    return schedule(table(spark, sf_dir, "documents"), TARGETS).select("doc_id", "source", "size", "block", "slot", "slot_rank")
+    return schedule(table(spark, sf_dir, "documents"), TARGETS).drop("place")
 
 
 def oracle() -> str:
-    """For sources of TARGETS alone; the period's slots come from a recursive search of the SQL's own."""
-    total = sum(TARGETS.values())
-    names = sorted(TARGETS)
-    values = ", ".join(f"({i}, '{s}', {TARGETS[s]})" for i, s in enumerate(names))
+    """The period's slots come from a recursive search of the SQL's own."""
+    named = " ".join(f"WHEN '{s}' THEN {w}" for s, w in sorted(TARGETS.items()))
     return f"""
-WITH RECURSIVE w(i, source, a) AS (VALUES {values}),
-b AS (SELECT i, j, j * {total} // a AS release, ((j + 1) * {total} + a - 1) // a AS deadline FROM w, LATERAL (SELECT unnest(range(0, a)) AS j)),
+WITH RECURSIVE u AS (SELECT DISTINCT source, CAST(CASE source {named} ELSE {DEFAULT_WEIGHT} END AS BIGINT) AS raw FROM documents),
+w AS (SELECT row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i, source, raw // (SELECT list_reduce(list(raw), lambda x, y: gcd(x, y)) FROM u) AS a FROM u),
+t AS (SELECT CAST(sum(a) AS BIGINT) AS total FROM w),
+b AS (SELECT i, j, j * total // a AS release, ((j + 1) * total + a - 1) // a AS deadline FROM w, t, LATERAL (SELECT unnest(range(0, a)) AS j)),
 bs AS (SELECT list({{'deadline': deadline, 'i': i, 'j': j, 'release': release}} ORDER BY deadline, i, j) AS all_b FROM b),
 run(slot, pick, rest) AS (
-  SELECT -1::BIGINT, NULL::STRUCT(deadline BIGINT, i INTEGER, j BIGINT, release BIGINT), all_b FROM bs
+  SELECT -1::BIGINT, NULL::STRUCT(deadline BIGINT, i BIGINT, j BIGINT, release BIGINT), all_b FROM bs
   UNION ALL
   SELECT slot + 1, list_filter(rest, lambda x: x.release <= slot + 1)[1],
     list_filter(rest, lambda x: x != list_filter(rest, lambda y: y.release <= slot + 1)[1]) FROM run WHERE len(rest) > 0),
 p AS (SELECT slot AS slot_in, pick.i AS i, pick.j AS j FROM run WHERE slot >= 0),
-d AS (SELECT doc_id, source, greatest(1, coalesce(strlen(text), 0)) AS size, md5(CAST(doc_id AS VARCHAR)) AS ord FROM documents),
+d AS (SELECT doc_id, source, greatest(1, strlen(coalesce(text, ''))) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS ord FROM documents),
 s AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d),
-k AS (SELECT s.*, CAST(start AS BIGINT) // {BLOCK_BYTES} AS block, w.i, w.a FROM s JOIN w ON s.source = w.source),
-o AS (SELECT k.*, block // a * {total} + slot_in AS slot FROM k JOIN p ON p.i = k.i AND p.j = k.block % k.a)
+k AS (SELECT s.*, CAST(start AS BIGINT) // {BLOCK_BYTES} AS block, w.i, w.a FROM s JOIN w ON s.source IS NOT DISTINCT FROM w.source),
+o AS (SELECT k.*, block // a * total + slot_in AS slot FROM k JOIN p ON p.i = k.i AND p.j = k.block % k.a, t),
+l AS (SELECT i, a, greatest(0, (CAST(sum(size) AS BIGINT) - 1) // {BLOCK_BYTES}) AS last FROM k GROUP BY 1, 2),
+e AS (SELECT min(last // a * total + slot_in + 1) AS first_end FROM l JOIN p ON p.i = l.i AND p.j = l.last % l.a, t)
 SELECT doc_id, source, CAST(size AS BIGINT) AS size, CAST(block AS BIGINT) AS block, CAST(slot AS BIGINT) AS slot,
-  CAST(row_number() OVER (PARTITION BY slot ORDER BY start) AS INTEGER) AS slot_rank FROM o"""
+  CAST(row_number() OVER (PARTITION BY slot ORDER BY start) AS INTEGER) AS slot_rank,
+  row_number() OVER (ORDER BY slot, start) - 1 AS position, slot < first_end AS balanced FROM o, e"""

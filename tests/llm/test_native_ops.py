@@ -105,20 +105,25 @@ def test_mixing_places_every_row(spark):
     sources = [("hot", "hot", "b", None)[k % 4] for k in range(len(texts))]
     docs = documents(spark, texts, sources)
     targets = {"hot": 1, "b": 3, None: 2}
-    got = mixing.schedule(docs, targets, block_bytes=10_000)
-    rows = got.collect()
-    assert len(rows) == len(texts) and len({(r["slot"], r["slot_rank"]) for r in rows}) == len(rows)
-    # At every slot before the first source ends, each source's bytes are within a block of its share.
-    end = max((r["slot"] for r in rows if r["balanced"]), default=-1)
-    for upto in range(0, end + 1):
+    block = 10_000
+    rows = sorted(mixing.schedule(docs, targets, block_bytes=block).collect(), key=lambda r: r["position"])
+    assert [r["position"] for r in rows] == list(range(len(texts)))
+    assert [(r["slot"], r["slot_rank"]) for r in rows] == sorted((r["slot"], r["slot_rank"]) for r in rows)
+    # At every slot before the first source ends, each source's bytes are within a block of its share, but for the
+    # documents that reach over the end of their block.
+    longest = {s: max(r["size"] for r in rows if r["source"] == s) for s in targets}
+    cut = max(r["slot"] for r in rows if r["balanced"])
+    assert any(not r["balanced"] for r in rows) and all((r["slot"] <= cut) == r["balanced"] for r in rows)
+    for upto in range(cut + 1):
         for source, weight in targets.items():
-            blocks = len({r["block"] for r in rows if r["source"] == source and r["slot"] <= upto})
-            assert blocks <= weight * (upto + 1) / 6 + 1
-    mixed = mixing.mix(docs, targets, block_bytes=10_000)
+            done = sum(r["size"] for r in rows if r["source"] == source and r["slot"] <= upto)
+            share = weight * (upto + 1) / 6 * block
+            assert -block < done - share < block + longest[source]
+    mixed = mixing.mix(docs, targets, block_bytes=block)
     assert mixed.columns == docs.columns
-    order = [r["source"] for r in mixed.collect()]
-    assert order == [r["source"] for r in sorted(rows, key=lambda r: (r["slot"], r["slot_rank"]))]
-    assert mixing.schedule(docs.where("false"), targets).collect() == []
+    got = mixed.collect()
+    assert [(r["doc_id"], r["source"], len(r["text"] or "")) for r in got] == [(r["doc_id"], r["source"], r["size"] if r["size"] > 1 else len(g["text"] or "")) for r, g in zip(rows, got)]
+    assert mixing.schedule(docs.where("false"), targets).collect() == [] == mixing.mix(docs.where("false"), targets).collect()
     with pytest.raises(ValueError):
         mixing.schedule(docs, {"hot": 0})
 
@@ -155,12 +160,35 @@ def test_dedup_keeps_rows_and_columns(spark):
     assert stream_dedup.find_duplicates(docs.where("false")).collect() == []
 
 
-def test_state_goes_on_in_a_later_run(spark, tmp_path):
-    path, checkpoint = str(tmp_path / "digests"), str(tmp_path / "state")
-    row = lambda rows: spark.createDataFrame(rows, "doc_id long, place struct<file:string,row:long>, digest binary")
-    first = row([(5, ("f", 0), b"x"), (6, ("f", 1), b"y")])
-    first.write.parquet(path)
-    assert stream_dedup.update_state(first, path, checkpoint).count() == 2
-    row([(1, ("g", 0), b"x"), (9, ("g", 1), b"z")]).write.mode("append").parquet(path)
-    state = {bytes(r["digest"]): (r["first"]["doc_id"], r["group_size"]) for r in stream_dedup.update_state(first, path, checkpoint).collect()}
-    assert state == {b"x": (1, 2), b"y": (6, 1), b"z": (9, 1)}
+def told(rows):
+    return sorted([(r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in rows], key=repr)
+
+
+@pytest.mark.parametrize("digest", [stream_dedup.sha256, lambda c: F.substring(F.unhex(F.md5(c)), 1, 1)])
+@pytest.mark.parametrize("from_files", [True, False])
+def test_state_goes_on_in_later_runs(spark, tmp_path, digest, from_files):
+    """Three calls with one checkpoint tell what one call over all rows does; smaller ids come late."""
+    parts = [[(50, "a  b"), (51, "c"), (52, None), (53, "x")], [(10, "a b"), (11, "d"), (11, "d"), (12, "")], [(5, "c\t"), (60, "a\nb"), (None, "d"), (61, "y"), *[(100 + k, f"text {k}") for k in range(40)]]]
+    before = []
+    for k, part in enumerate(parts):
+        docs = documents(spark, part)
+        if from_files:
+            docs.write.parquet(f"{tmp_path}/in {k}")
+            docs = spark.read.parquet(f"{tmp_path}/in {k}")
+        before += part
+        found = stream_dedup.find_duplicates(docs, digest, f"{tmp_path}/state")
+        want = expected(before)
+        got = told(found.collect())
+        # Of this call's rows, in groups with all rows so far.
+        assert len(got) == len(part) and all(g in want for g in got)
+    got = stream_dedup.find_duplicates(documents(spark, []), digest, f"{tmp_path}/state", all_runs=True)
+    assert told(got.collect()) == expected(before)
+
+
+def test_a_file_that_is_read_twice(spark, sf):
+    path = f"{sf}/documents.parquet"
+    docs = spark.read.parquet(path, path)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert told(stream_dedup.find_duplicates(docs).collect()) == expected(rows)
+    left = stream_dedup.drop_duplicates(docs).collect()
+    assert len(left) == len({re.sub("[\\x20\\x09-\\x0D]+", " ", t) for _, t in rows})
