@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type as pa_type
 
 from .batches import text_slices
-from .common import stored, table
+from .common import dealt_in_order, file_starts, place, stored, table
 
 CHUNK_TOKENS = 4_000_000
 BUCKET_BYTES = 8 << 20
@@ -359,5 +359,17 @@ def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
     return done.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def digests_in_order(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """digests() and position long: the row's number, from 0, in the order in which docs were written to files.
+
+    The rows come in this order over partitions and files.
+    """
+    docs = stored(docs.select("doc_id", "text"), "bpe-input", filters=False)
+    done = digests(docs.select(F.struct("doc_id", place().alias("place")).alias("doc_id"), "text"), ranks_path)
+    done = done.select("doc_id.*", *done.columns[1:]).withColumn("file", F.col("place.file"))
+    done = done.join(F.broadcast(file_starts(docs)), "file").withColumn("position", F.col("before") + F.col("place.row"))
+    return dealt_in_order(done.drop("file", "place", "before"), "position", docs.count())
+
+
 def op4_word_bpe(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))

@@ -90,16 +90,21 @@ def place() -> Column:
     return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def in_file_order(docs: DataFrame, name: str) -> DataFrame:
-    """docs with their number, from 0, in the order in which their files were written: by part, then row."""
-    docs = stored(docs, "ordered", filters=False).select("*", place().alias("__place"))
-    files = docs.groupBy("__place.file").agg((F.max("__place.row") + 1).alias("__n"))
+def file_starts(docs: DataFrame) -> DataFrame:
+    """(file, before): the rows of the files that were written before, by part, of docs as stored(filters=False) gives them.
+
+    A row's number in the order in which docs were written is before + place.row. One row a file.
+    """
+    files = docs.select(place().alias("place")).groupBy("place.file").agg((F.max("place.row") + 1).alias("n"))
     part = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("long")
-    before = F.sum("__n").over(W.orderBy(part, "file").rowsBetween(W.unboundedPreceding, -1))
-    # One row a file.
-    starts = files.select("file", F.coalesce(before, F.lit(0)).alias("__before"))
-    placed = docs.withColumn("__file", F.col("__place.file")).join(F.broadcast(starts).withColumnRenamed("file", "__file"), "__file")
-    return placed.withColumn(name, F.col("__before") + F.col("__place.row")).drop("__file", "__place", "__before")
+    before = F.sum("n").over(W.orderBy(part, "file").rowsBetween(W.unboundedPreceding, -1))
+    return files.select("file", F.coalesce(before, F.lit(0)).alias("before"))
+
+
+def dealt_in_order(rows: DataFrame, position: str, n: int) -> DataFrame:
+    """rows in the order of their position, 0 to n - 1, over partitions. As it has no gap, equal lanes need no sample."""
+    lanes = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionById(lanes, F.floor(F.col(position) * lanes / max(1, n)).cast("int")).sortWithinPartitions(position)
 
 
 #: Bits of flagged()'s map: 16 MB, whatever the input.

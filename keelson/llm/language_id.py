@@ -7,9 +7,16 @@ words are learned. Forward-backward gives each word's marginal, so a code-switch
 its runs of languages; the text's language is the one with the most letters in expectation.
 
 Training takes at most DOCS_A_LANGUAGE documents of each language (chosen by a hash of the
-id), each with its whole text; the bound is a parameter. First every word carries its
-document's label; after half of the steps, words that the model is sure stand in another
-language change over, since documents switch within themselves.
+id), each with its whole text, and of those the ones that come before the language's part of
+TRAIN_BYTES is used up; both bounds are parameters. Of over MAX_LANGUAGES languages those with
+the most documents are learned. First every word carries its document's label; after half of
+the steps, words that the model is sure stand in another language change over, since
+documents switch within themselves.
+
+A model also knows which n-grams of letters it has met. A word is familiar if at least half of
+its n-grams are; `familiar` is the share of a text's letters that stand in familiar words. It
+says whether the text is in any learned language at all, however many there are, which the
+score, a share among the learned ones, can't.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is every
 text if no labelled row may be learned from. Held-out rows, null ids and null languages
@@ -33,10 +40,15 @@ from .batches import mix, text_slices
 from .common import held_out, table
 
 DOCS_A_LANGUAGE = 150
+TRAIN_BYTES = 64 << 20
 MAX_LANGUAGES = 200
 STEPS = 24
 GRAMS = (2, 3, 4)
 SLOTS = 1 << 17
+#: Slots of the n-grams that a model has met: more than weights have, so that few share one.
+MET_SLOTS = 1 << 22
+#: Share of a word's n-grams that make it familiar.
+FAMILIAR = 0.5
 CHUNK = 256
 U = np.uint64
 
@@ -46,6 +58,7 @@ class Model:
     languages: list[str]
     emission: np.ndarray  # (SLOTS, languages)
     transition: np.ndarray  # (languages, languages)
+    met: np.ndarray  # MET_SLOTS bits of the n-grams in training
 
 
 def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -61,8 +74,8 @@ def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return words.dictionary_encode(), counts
 
 
-def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Feature slots of distinct words, side by side with the word's number; by word, ascending within each kind."""
+def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """Feature hashes of distinct words, side by side with the word's number; and how many of the first are whole words."""
     marked = pc.binary_join_element_wise("\x02", words, "\x03", "")
     ends = np.concatenate(([0], np.cumsum(pc.binary_length(marked).to_numpy(), dtype=np.int64)))
     raw = np.frombuffer("".join(marked.to_pylist()).encode(), np.uint8).astype(U)
@@ -77,12 +90,27 @@ def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         within = owner[:m] == owner[n - 1 :] if m else np.empty(0, bool)
         slots.append(mix(gram[within]))
         owners.append(owner[:m][within])
-    return (np.concatenate(slots) % U(SLOTS)).astype(np.int64), np.concatenate(owners)
+    return np.concatenate(slots), np.concatenate(owners), len(words)
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % U(SLOTS)).astype(np.int64)
 
 
-def _emissions(model: Model, words: pa.Array) -> np.ndarray:
-    slots, owner = features(words)
-    return np.column_stack([np.bincount(owner, model.emission[slots, k], len(words)) for k in range(len(model.languages))])
+def _met(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and bit of each hash in Model.met."""
+    slot = (hashes >> U(64 - 22)).astype(np.int64)
+    return slot >> 3, (1 << (slot & 7)).astype(np.uint8)
+
+
+def _read_words(model: Model, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Emission scores of distinct words, and whether each is familiar."""
+    hashes, owner, n = features(words)
+    slots = _slot(hashes)
+    emitted = np.column_stack([np.bincount(owner, model.emission[slots, k], n) for k in range(len(model.languages))])
+    byte, bit = _met(hashes[n:])
+    known = np.bincount(owner[n:], (model.met[byte] & bit) > 0, n)
+    return emitted, known >= FAMILIAR * np.bincount(owner[n:], minlength=n)
 
 
 def marginals(scores: np.ndarray, starts: np.ndarray, transition: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
@@ -149,14 +177,18 @@ def fit(texts: list[str], labels: list[str], steps: int = STEPS) -> Model:
     languages = sorted(set(labels))
     k = len(languages)
     words, counts = words_of(pa.array(texts, pa.string()))
-    model = Model(languages, np.zeros((SLOTS, k)), np.zeros((k, k)))
-    if not len(words) or k == 1:
+    model = Model(languages, np.zeros((SLOTS, k)), np.zeros((k, k)), np.zeros(MET_SLOTS >> 3, np.uint8))
+    if not len(words):
+        return model
+    hashes, owner, n = features(words.dictionary)
+    slots = _slot(hashes)
+    np.bitwise_or.at(model.met, *_met(hashes[n:]))
+    if k == 1:
         return model
     index = words.indices.to_numpy().astype(np.int64)
     starts = np.zeros(len(index), bool)
     starts[(np.cumsum(counts) - counts)[counts > 0]] = True
     gold = np.repeat([languages.index(x) for x in labels], counts)
-    slots, owner = features(words.dictionary)
     # A document of any length and a language with any number of documents weigh alike.
     share = 1.0 / np.bincount(gold, minlength=k)[gold] * len(gold) / k
     inner = ~starts[1:]
@@ -180,28 +212,31 @@ def fit(texts: list[str], labels: list[str], steps: int = STEPS) -> Model:
     return model
 
 
-def train(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> Model | None:
+def train(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE, train_bytes: int = TRAIN_BYTES) -> Model | None:
     """Learns from documents that are not held out; None if there is none with a language."""
-    labelled = docs.select("doc_id", "lang", "text").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.select("doc_id", "lang").withColumn("r", rank).where(F.col("r") <= docs_a_language).select("doc_id", "lang")
-    names = chosen.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
-    if names > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
-    # At most docs_a_language * MAX_LANGUAGES ids, and as many texts on the driver.
-    picked = labelled.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi").orderBy("doc_id", "lang").limit(docs_a_language * max(1, names)).collect()
-    picked = [r for r in picked if r["text"]]
+    size = F.octet_length("text").cast("long")
+    labelled = docs.select("doc_id", "lang", "text").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (size > 0) & ~held_out(F.col("doc_id")))
+    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "size")
+    sizes = labelled.select("doc_id", "lang", size.alias("size"))
+    names = [r["lang"] for r in sizes.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
+    if not names:
+        return None
+    first = sizes.where(F.col("lang").isin(names)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= docs_a_language)
+    upto = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))
+    chosen = first.withColumn("upto", upto).where(F.col("upto") <= train_bytes // len(names)).select("doc_id", "lang")
+    # At most docs_a_language * MAX_LANGUAGES ids; as many texts, of train_bytes together, on the driver.
+    picked = labelled.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi").orderBy("doc_id", "lang").limit(docs_a_language * len(names)).collect()
     return fit([r["text"] for r in picked], [r["lang"] for r in picked]) if picked else None
 
 
-RESULT = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())])))])
+RESULT = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("familiar", pa.float64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())])))])
 
 
 def label_texts(model: Model | None, texts: pa.Array, spans: bool = False) -> pa.RecordBatch:
-    """lang_pred, score and, if asked, the runs of words of one language, of each text."""
+    """lang_pred, score, the share of letters in familiar words and, if asked, the runs of words of one language, of each text."""
     words, counts = words_of(texts)
     lang = np.full(len(texts), "und", object)
-    score = np.zeros(len(texts))
+    score, familiar = np.zeros(len(texts)), np.zeros(len(texts))
     runs: list = [[] if spans else None] * len(texts)
     if model is not None and len(words):
         index = words.indices.to_numpy().astype(np.int64)
@@ -209,8 +244,10 @@ def label_texts(model: Model | None, texts: pa.Array, spans: bool = False) -> pa
         at = (np.cumsum(counts) - counts)[full]
         starts = np.zeros(len(index), bool)
         starts[at] = True
-        gamma, _ = marginals(_emissions(model, words.dictionary)[index], starts, model.transition)
+        emitted, known = _read_words(model, words.dictionary)
+        gamma, _ = marginals(emitted[index], starts, model.transition)
         letters = pc.utf8_length(words.dictionary).to_numpy()[index]
+        familiar[full] = np.add.reduceat(letters * known[index], at) / np.add.reduceat(letters, at)
         mass = np.add.reduceat(gamma * letters[:, None], at, axis=0)
         mass /= mass.sum(axis=1, keepdims=True)
         lang[full] = np.array(model.languages, object)[mass.argmax(axis=1)]
@@ -221,11 +258,11 @@ def label_texts(model: Model | None, texts: pa.Array, spans: bool = False) -> pa
                 mine = best[a : a + counts[d]]
                 cuts = np.concatenate(([0], np.flatnonzero(np.diff(mine)) + 1, [len(mine)]))
                 runs[d] = [{"first": int(x), "last": int(y) - 1, "lang": model.languages[mine[x]]} for x, y in zip(cuts[:-1], cuts[1:])]
-    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(runs, RESULT.field("spans").type)], schema=RESULT)
+    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(familiar), pa.array(runs, RESULT.field("spans").type)], schema=RESULT)
 
 
 def identify(docs: DataFrame, model: Model | None, spans: bool = False) -> DataFrame:
-    """docs with lang_pred string, score double and spans (word numbers; null unless asked for) added, in place of such columns."""
+    """docs with lang_pred string, score and familiar double, and spans (word numbers; null unless asked for) added, in place of such columns."""
     docs = docs.drop(*RESULT.names)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS by languages
     names = docs.columns
@@ -236,17 +273,17 @@ def identify(docs: DataFrame, model: Model | None, spans: bool = False) -> DataF
             yield pa.RecordBatch.from_arrays([*part.columns, *found.columns], [*names, *found.schema.names])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return docs.mapInArrow(run, ", ".join([*kinds, "lang_pred string, score double, spans array<struct<first:int,last:int,lang:string>>"]))
+    return docs.mapInArrow(run, ", ".join([*kinds, "lang_pred string, score double, familiar double, spans array<struct<first:int,last:int,lang:string>>"]))
 
 
-def keep_identified(docs: DataFrame, model: Model | None, min_score: float) -> DataFrame:
-    """Rows of docs, as they are, whose text has letters and a language with at least min_score of its mass."""
+def keep_identified(docs: DataFrame, model: Model | None, min_familiar: float) -> DataFrame:
+    """Rows of docs, as they are, whose text has letters, at least min_familiar of them in familiar words."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches):
             found = label_texts(shipped.value, texts)
-            yield part.filter(pc.and_(pc.not_equal(found.column("lang_pred"), "und"), pc.greater_equal(found.column("score"), min_score)))
+            yield part.filter(pc.and_(pc.not_equal(found.column("lang_pred"), "und"), pc.greater_equal(found.column("familiar"), min_familiar)))
 
     return docs.mapInArrow(run, docs.schema)
 

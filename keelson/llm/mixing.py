@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.position import running_total
-from .common import materialise, null_safe, place, stored, table
+from .common import dealt_in_order, materialise, null_safe, place, stored, table
 
 #: Target weights of the query: the large source is held to a tenth, the others share the rest by quality tier.
 TARGETS = {"src0": 10, **{f"src{k}": (6, 4, 5, 4)[k % 4] for k in range(1, 20)}}
@@ -124,12 +124,7 @@ def mix(docs: DataFrame, targets: Mapping[str, int] = TARGETS, default_weight: i
     """All rows of docs with their columns, in the order of the schedule over partitions and files."""
     docs = stored(docs, "mix-docs")
     placed = materialise(schedule(docs, targets, default_weight, block_bytes).select(F.col("place").alias("__place"), F.col("position").alias("__position")), "mix-places")
-    lanes = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(1, placed.count())
-    mixed = docs.withColumn("__place", place()).join(placed, "__place")
-    # Positions have no gap, so lanes of equal rows need no sample of them.
-    mixed = mixed.repartitionById(lanes, F.floor(F.col("__position") * lanes / n).cast("int"))
-    return mixed.sortWithinPartitions("__position").select(*docs.columns)
+    return dealt_in_order(docs.withColumn("__place", place()).join(placed, "__place"), "__position", placed.count()).select(*docs.columns)
 
 
 def op6_pfair_mixing(spark, sf_dir):

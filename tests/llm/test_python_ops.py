@@ -1,7 +1,9 @@
 """MinHash, sharding, quality, BPE, language ID, top-k and line dedup: edge cases and brute force."""
 
+import base64
 import hashlib
 import itertools
+import math
 import random
 import zlib
 
@@ -233,13 +235,60 @@ def test_language_of_held_out_rows_and_cases(spark):
     assert [r["lang_pred"] for r in got] == ["und", "und", "und", "de", "de", "fr", got[-1]["lang_pred"]]
     assert got[0]["score"] == 0 and all(0 <= r["score"] <= 1 for r in got)
     assert {s["lang"] for s in got[-1]["spans"]} >= {"en", "es"} and got[-1]["spans"][0]["first"] == 0
-    kept = language_id.keep_identified(odd, model, 0.4)
-    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} >= {3, 4}
+    kept = language_id.keep_identified(odd, model, 0.5)
+    assert kept.columns == odd.columns and [r["doc_id"] for r in kept.collect()] == [3, 3, 4, 5]
     assert language_id.identify(odd.where("false"), model).collect() == []
     assert language_id.train(odd.where("false")) is None
     assert {r["lang_pred"] for r in language_id.identify(odd, None).collect()} == {"und"}
 
 
+def junk(rng):
+    """Texts in none of the learned languages, by kind."""
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(2, 11)))
+    pool = [word("abcdefghijklmnopqrstuvwxyz") for _ in range(3000)]
+    return {
+        "letters": [" ".join(rng.choices(pool, k=60)) for _ in range(20)],
+        "consonants": [" ".join(word("bcdfghjklmnpqrstvwxz") for _ in range(60)) for _ in range(20)],
+        "base64": [base64.b64encode(rng.randbytes(600)).decode() for _ in range(20)],
+        "others": ["Все люди рождаются свободными и равными в своем достоинстве и правах.", "人人生而自由，在尊严和权利上一律平等。", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw."],
+        "none": ["12 34 !!", "", None],
+    }
+
+
+def test_texts_in_no_learned_language_go_and_all_others_stay(spark):
+    docs = read(spark, "/root/testdata/sf0.01")
+    model = language_id.train(docs)
+    assert language_id.keep_identified(docs, model, 0.5).count() == docs.count()
+    texts = [t for ts in junk(random.Random(1)).values() for t in ts]
+    assert language_id.keep_identified(documents(spark, list(enumerate(texts))), model, 0.5).collect() == []
+
+
+def test_words_of_code_switched_text(spark):
+    """Runs of 12 words from held-out texts of two languages: the words' labels, not the text's."""
+    docs = read(spark, "/root/testdata/sf0.01")
+    model = language_id.train(docs)
+    rng = random.Random(3)
+    words = {lang: [] for lang in model.languages}
+    for r in docs.where(held_out(F.col("doc_id")) & (F.col("n_chars") > 300)).collect():
+        words[r["lang"]] += language_id.words_of(pa.array([r["text"]]))[0].to_pylist()
+    texts, gold = [], []
+    for _ in range(60):
+        a, b = rng.sample(model.languages, 2)
+        runs = [(lang, rng.choices(words[lang], k=12)) for lang in (a, b, a)]
+        texts.append(" ".join(w for _, ws in runs for w in ws))
+        gold.append([lang for lang, ws in runs for _ in ws])
+    spans = language_id.label_texts(model, pa.array(texts), spans=True).column("spans").to_pylist()
+    got = [[s["lang"] for s in ss for _ in range(s["first"], s["last"] + 1)] for ss in spans]
+    assert np.mean([x == y for g, w in zip(got, gold, strict=True) for x, y in zip(g, w, strict=True)]) > 0.9
+
+
+def test_training_texts_are_bounded(spark):
+    docs = documents(spark, [(k, f"{w} " * 50) for k in range(200) for w in ("alpha",)]).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b"))
+    assert language_id.train(docs, docs_a_language=3).languages == ["a", "b"]
+    assert language_id.train(docs, train_bytes=700).languages == ["a", "b"]
+    assert language_id.train(docs, train_bytes=10) is None
+
+
 # Top-k
 
 
@@ -333,18 +382,79 @@ def test_within_one_is_the_edit_distance(a, b):
 # Pipeline
 
 
-def test_pipeline_stages(spark, sf):
+def brute_pipeline(docs, model):
+    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256) in the order of the mix, from rows (doc_id, text, source) without repeated ids."""
+    with open(RANKS, "rb") as f:
+        enc = bpe.encoding(f.read())
+    found = language_id.label_texts(model, pa.array([t or "" for _, t, _ in docs]))
+    docs = [d for d, lang, f in zip(docs, found.column("lang_pred").to_pylist(), found.column("familiar").to_pylist()) if lang != "und" and f >= 0.5]
+    first = {}
+    for d in sorted(docs):
+        first.setdefault(regex.sub("[\\x20\\x09-\\x0D]+", " ", d[1]), d)
+    docs = list(first.values())
+    classes = {i: (c, n) for i, c, n in brute_classes([(i, t) for i, t, _ in docs])}
+    docs = [d for d in docs if classes[d[0]][0] == d[0]]
+    names = sorted({s for _, _, s in docs})
+    weights = [mixing.TARGETS.get(s, mixing.DEFAULT_WEIGHT) for s in names]
+    common = math.gcd(*weights)
+    weights = [w // common for w in weights]
+    at = {(i, j): slot for slot, i, j in mixing.pfair_period(weights)}
+    order = []
+    for i, s in enumerate(names):
+        start = 0
+        mine = [(hashlib.md5(f"{d}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest(), d, t) for d, t, src in docs if src == s]
+        for _, d, t in sorted(mine):
+            block = start // mixing.BLOCK_BYTES
+            order.append((block // weights[i] * sum(weights) + at[i, block % weights[i]], start, d, t))
+            start += len(t.encode())
+    out = []
+    for _, _, d, t in sorted(order):
+        ids = np.array(enc.encode_ordinary(t), "<u4")
+        out.append((d, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, sf, tmp_path, monkeypatch):
+    """With planted junk, copies and near copies, over several files and chunks; run() goes through the stages."""
     import corpus_pipeline as c
 
+    monkeypatch.setattr(bpe, "CHUNK_TOKENS", 5_000)
     docs = read(spark, sf)
-    columns, n = docs.columns, docs.count()
-    counts = []
-    for name, stage in c.STAGES:
-        docs = c.materialise(stage(spark, docs, sf), name)
-        counts.append(docs.count())
-        assert docs.columns == (columns if name != c.STAGES[-1][0] else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    assert n >= counts[0] >= counts[1] >= counts[2] == counts[3] == counts[4]
-    assert c.run(spark, sf).count() == counts[-1]
+    rng = random.Random(5)
+    texts = [r["text"] for r in docs.where("n_chars > 200").orderBy("doc_id").limit(30).collect()]
+    planted = [t for ts in junk(rng).values() for t in ts]
+    n_junk = len(planted)
+    planted += [t.replace(" ", "  ") for t in texts[:10]] + [t + " and" for t in texts[10:30]]
+    more = spark.createDataFrame([(10_000 + k, t, "en", f"src{k % 25}", len(t or "")) for k, t in enumerate(planted)], docs.schema)
+    docs.union(more).repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = read(spark, str(tmp_path))
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
+    want = brute_pipeline(rows, language_id.train(docs))
+    assert not {i for i, *_ in want} & {10_000 + k for k in range(n_junk)}
+    made = c.run(spark, str(tmp_path))
+    got = made.collect()
+    assert made.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "position"]
+    assert [tuple(r) for r in got] == [(*w, k) for k, w in enumerate(want)]
+    made.write.parquet(f"{tmp_path}/out")
+    assert pq.ParquetDataset(sorted((tmp_path / "out").glob("part-*"))).read(["position"])["position"].to_pylist() == list(range(len(want)))
+
+
+def test_pipeline_stages_of_odd_rows(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, an empty table, extra columns: every stage returns the columns it was given."""
+    import corpus_pipeline as c
+
+    base = read(spark, "/root/testdata/sf0.01").limit(150)
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "src1", 0), (7, None, "en", None, 3), (7, None, "en", None, 3), (8, LONG, None, "src0", None), (9, LONG, None, "src0", None)], base.schema)
+    extra = lambda d: d.withColumns({k: F.lit("x") for k in ("position", "place", "score", "slot", "kept", "run", "file", "node")})
+    for docs in (base.union(base).union(odd), odd, base.where("false"), extra(base.union(odd))):
+        docs = c.materialise(docs, "odd")
+        columns = docs.columns
+        for name, stage in c.STAGES:
+            before = docs.count()
+            docs = c.materialise(stage(spark, docs, ""), name)
+            assert docs.columns == (columns if name != "byte_bpe" else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "position"])
+            assert docs.count() <= before
+        assert sorted(r["position"] for r in docs.collect()) == list(range(docs.count()))
 
 
 def test_pipeline_rows_follow_the_targets(spark, tmp_path):
