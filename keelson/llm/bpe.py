@@ -317,12 +317,12 @@ def encode(docs: DataFrame, ranks_path: str, decoded: bool = False) -> DataFrame
     """
     ranks = _shipped(docs.sparkSession, ranks_path)
     # Chunks are made of the rows that a task sees, so it must see the same ones when it runs again.
-    docs = stored(docs.select("doc_id", "text"), "bpe-input")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    docs = stored(docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), "text"), "bpe-input")
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = min(max(size // BUCKET_BYTES, BUCKETS[0]), BUCKETS[1])
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
     schema = "chunk long, bucket int, key long, payload binary"
-    id_type = docs.schema["doc_id"].dataType.simpleString()
     # One exchange deals out words and positions; both branches below read it, and positions stay where it puts them.
     blocks = docs.mapInArrow(_explode(buckets), schema).repartition(partitions, "key")
     # A filter that Spark takes for nondeterministic stays above the exchange, so that both find the same one.

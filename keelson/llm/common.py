@@ -107,8 +107,8 @@ def dealt_in_order(rows: DataFrame, position: str, n: int) -> DataFrame:
     return rows.repartitionById(lanes, F.floor(F.col(position) * lanes / max(1, n)).cast("int")).sortWithinPartitions(position)
 
 
-#: Bits of flagged()'s map: 16 MB, whatever the input.
-MAP_BITS, CHUNK_BITS = 27, 15
+#: Bits of flagged()'s map: 8 MB, whatever the input. A chunk is what bitmap_construct_agg makes.
+MAP_BITS, CHUNK_BITS = 26, 15
 
 
 def flagged(rows: DataFrame, key: Column, members: DataFrame, member_key: Column) -> DataFrame:
@@ -120,11 +120,13 @@ def flagged(rows: DataFrame, key: Column, members: DataFrame, member_key: Column
     slot = lambda k: F.pmod(F.xxhash64(k), F.lit(1 << MAP_BITS))
     marked = members.select(slot(member_key).alias("__slot"))
     chunk, inside = F.shiftright("__slot", CHUNK_BITS), F.col("__slot").bitwiseAND(F.lit((1 << CHUNK_BITS) - 1))
-    chunks = materialise(marked.groupBy(chunk.alias("__chunk")).agg(F.bitmap_construct_agg(inside).alias("__bits")), "member-map")
-    rows = rows.withColumn("__slot", slot(key)).withColumn("__chunk", chunk).join(F.broadcast(chunks), "__chunk", "left")
+    every = rows.sparkSession.range(1 << MAP_BITS - CHUNK_BITS).select(F.col("id").alias("__chunk"), F.lit(None).cast("long").alias("__at"))
+    marked = marked.select(chunk.alias("__chunk"), inside.alias("__at")).union(every)
+    chunks = materialise(marked.groupBy("__chunk").agg(F.bitmap_construct_agg("__at").alias("__bits")), "member-map")
+    rows = rows.withColumn("__slot", slot(key)).withColumn("__chunk", chunk).join(F.broadcast(chunks), "__chunk")
     byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.shiftright(inside, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     bit = F.call_function("bit_get", byte, inside.bitwiseAND(F.lit(7)).cast("int"))
-    return rows.withColumn("__maybe", F.coalesce(bit == 1, F.lit(False))).drop("__slot", "__chunk", "__bits")
+    return rows.withColumn("__maybe", bit == 1).drop("__slot", "__chunk", "__bits")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -13,7 +13,8 @@ the most documents are learned. First every word carries its document's label; a
 the steps, words that the model is sure stand in another language change over, since
 documents switch within themselves.
 
-A model also knows which n-grams of letters it has met. A word is familiar if at least half of
+A model also knows which n-grams of letters it has met, in one training text of MET_IN at
+least, so that a few texts under a wrong language don't count. A word is familiar if at least half of
 its n-grams are; `familiar` is the share of a text's letters that stand in familiar words. It
 says whether the text is in any learned language at all, however many there are, which the
 score, a share among the learned ones, can't.
@@ -47,6 +48,7 @@ GRAMS = (2, 3, 4)
 SLOTS = 1 << 17
 #: Slots of the n-grams that a model has met: more than weights have, so that few share one.
 MET_SLOTS = 1 << 22
+MET_IN = 200
 #: Share of a word's n-grams that make it familiar.
 FAMILIAR = 0.5
 CHUNK = 256
@@ -58,7 +60,7 @@ class Model:
     languages: list[str]
     emission: np.ndarray  # (SLOTS, languages)
     transition: np.ndarray  # (languages, languages)
-    met: np.ndarray  # MET_SLOTS bits of the n-grams in training
+    met: np.ndarray  # MET_SLOTS marks of the n-grams in training
 
 
 def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -97,10 +99,19 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes % U(SLOTS)).astype(np.int64)
 
 
-def _met(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte and bit of each hash in Model.met."""
-    slot = (hashes >> U(64 - 22)).astype(np.int64)
-    return slot >> 3, (1 << (slot & 7)).astype(np.uint8)
+def _met_slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes // U((1 << 64) // MET_SLOTS)).astype(np.int64)
+
+
+def _met(index: np.ndarray, counts: np.ndarray, grams: np.ndarray, owner: np.ndarray, words: int) -> np.ndarray:
+    """MET_SLOTS marks: whether enough of the texts hold an n-gram. grams and their words' numbers side by side."""
+    order = np.argsort(owner, kind="stable")
+    slots, edges = _met_slot(grams)[order], np.searchsorted(owner[order], np.arange(words + 1))
+    texts = np.zeros(MET_SLOTS, np.int32)
+    for at, n in zip(np.cumsum(counts) - counts, counts):
+        mine = np.unique(index[at : at + n])
+        texts[np.unique(np.concatenate([slots[edges[w] : edges[w + 1]] for w in mine]))] += 1
+    return texts >= max(1, -(-np.count_nonzero(counts) // MET_IN))
 
 
 def _read_words(model: Model, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -108,8 +119,7 @@ def _read_words(model: Model, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     hashes, owner, n = features(words)
     slots = _slot(hashes)
     emitted = np.column_stack([np.bincount(owner, model.emission[slots, k], n) for k in range(len(model.languages))])
-    byte, bit = _met(hashes[n:])
-    known = np.bincount(owner[n:], (model.met[byte] & bit) > 0, n)
+    known = np.bincount(owner[n:], model.met[_met_slot(hashes[n:])], n)
     return emitted, known >= FAMILIAR * np.bincount(owner[n:], minlength=n)
 
 
@@ -177,12 +187,12 @@ def fit(texts: list[str], labels: list[str], steps: int = STEPS) -> Model:
     languages = sorted(set(labels))
     k = len(languages)
     words, counts = words_of(pa.array(texts, pa.string()))
-    model = Model(languages, np.zeros((SLOTS, k)), np.zeros((k, k)), np.zeros(MET_SLOTS >> 3, np.uint8))
+    model = Model(languages, np.zeros((SLOTS, k)), np.zeros((k, k)), np.zeros(MET_SLOTS, bool))
     if not len(words):
         return model
     hashes, owner, n = features(words.dictionary)
     slots = _slot(hashes)
-    np.bitwise_or.at(model.met, *_met(hashes[n:]))
+    model.met = _met(words.indices.to_numpy(), counts[counts > 0], hashes[n:], owner[n:], n)
     if k == 1:
         return model
     index = words.indices.to_numpy().astype(np.int64)

@@ -41,6 +41,8 @@ DEFAULT_WEIGHT = 1
 BLOCK_BYTES = 65_536
 #: Rows that one (source, cell) window takes on average.
 CELL_ROWS = 2_000
+#: Slots of one window of the running count of rows.
+CELL_SLOTS = 256
 #: Hexadecimal digits of a cell: beyond a million cells they grow instead of their number, which one window takes for each source.
 MAX_CELL_DIGITS = 5
 #: Sources that may be mixed; their weights and one period of the schedule are all that reaches the driver.
@@ -115,7 +117,7 @@ def schedule(docs: DataFrame, targets: Mapping[str, int], default_weight: int =
     rows = rows.withColumn("slot", F.floor(F.col("block") / F.col("weight")) * F.col("period") + F.col("slot_in"))
     # A slot is one block, so under block_bytes rows of one source; starts differ within it.
     rows = rows.withColumn("slot_rank", F.row_number().over(W.partitionBy("slot").orderBy("start")))
-    filled = running_total(rows.groupBy("slot").agg(F.count(F.lit(1)).alias("n")), "slot", "n", "upto").select("slot", (F.col("upto") - F.col("n")).alias("ahead"))
+    filled = running_total(rows.groupBy("slot").agg(F.count(F.lit(1)).alias("n")), "slot", "n", "upto", CELL_SLOTS).select("slot", (F.col("upto") - F.col("n")).alias("ahead"))
     rows = rows.join(filled, "slot")
     return rows.select("doc_id", "source", "size", "block", "slot", "slot_rank", (F.col("ahead") + F.col("slot_rank") - 1).alias("position"), (F.col("slot") < end).alias("balanced"), "place")
 

@@ -425,7 +425,7 @@ def test_pipeline_equals_brute_force(spark, sf, tmp_path, monkeypatch):
     planted = [t for ts in junk(rng).values() for t in ts]
     n_junk = len(planted)
     planted += [t.replace(" ", "  ") for t in texts[:10]] + [t + " and" for t in texts[10:30]]
-    more = spark.createDataFrame([(10_000 + k, t, "en", f"src{k % 25}", len(t or "")) for k, t in enumerate(planted)], docs.schema)
+    more = spark.createDataFrame([(10_000 + k, t, None, f"src{k % 25}", len(t or "")) for k, t in enumerate(planted)], docs.schema)
     docs.union(more).repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
     docs = read(spark, str(tmp_path))
     rows = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
