@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All but the last return the columns that
 they were given. Stages define null, empty and repeated rows as their operators do.
+
+Language ID rejects texts that are in none of the learned languages. Mixing keeps every row
+and decides their order: its rows are written in it, and the last stage numbers its token
+rows by it (`position`, from 0 without a gap).
 """
 
 from __future__ import annotations
@@ -13,13 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from keelson.llm import bpe, dart_minhash, language_id, mixing, stream_dedup
 from keelson.llm.common import materialise, table
 
-#: A text of which no language has this share of the letters is rejected, as is one without letters.
-MIN_LANGUAGE_SCORE = 0.3
+#: A text with a smaller share of its letters in words familiar from training is rejected, as is one without letters.
+MIN_FAMILIAR = 0.5
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language_id.keep_identified(docs, language_id.train(docs), MIN_LANGUAGE_SCORE)
+    return language_id.keep_identified(docs, language_id.train(docs), MIN_FAMILIAR)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token rows in the order of the mix: rows read from files have none, so it is worked out again."""
-    return mixing.in_order(bpe.digests(docs, RANKS), docs, "decoded_sha256")
+    """Token rows with their position in the mix, which is the order in which docs were written."""
+    return bpe.digests_in_order(docs, RANKS)
 
 
 STAGES = [
