@@ -1,6 +1,7 @@
 """Near-duplicate detection with DartMinHash signatures and banded joining.
 
-Signatures. Each element (a shingle) owns a plane of weight and rank on which hashing
+Signatures. A text is a weighted set: its elements are its shingles, and an element weighs as
+often as it occurs. Each element owns a plane of weight and rank on which hashing
 throws darts at one a unit of area. A set gathers the darts that lie below the element's
 weight, layer by layer of rising rank, until every one of k coordinates (a dart names one
 by its hash) has a dart; the earliest dart of a coordinate is its value. Two weighted sets
@@ -8,10 +9,11 @@ agree in a coordinate with probability equal to their weighted Jaccard similarit
 throws about k ln k darts however many elements it has. Layers double in width, regions of
 weight too, so all sets see the same darts.
 
-Joining. Documents with one shingle set are one node. Nodes that agree in a whole band of
+Joining. Documents with one weighted set are one node. Nodes that agree in a whole band of
 the signature share a bucket. In each bucket the node that shares the most bands leads: all
-others are held against it, and the exact similarity of each such pair is computed from the
-shingles. Linked nodes are in one class. In further rounds, the nodes outside a bucket's
+others are held against it, and the exact weighted similarity of each such pair is computed
+from the shingles, of which every occurrence is an element of its own by then: the sum of the
+smaller weights over that of the larger ones. Linked nodes are in one class. In further rounds, the nodes outside a bucket's
 largest class are held against the leading nodes of other classes, eight times as many each
 time, until every pair of a bucket is either compared or in one class. So no pair of a
 bucket that is linked goes uncompared, and a bucket of copies costs about as many pairs as
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .batches import mix, text_slices
-from .common import discard, materialise, null_safe, table
+from .common import discard, flagged, materialise, null_safe, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -110,8 +112,8 @@ def sketch(element: np.ndarray, owner: np.ndarray, weight: np.ndarray, sets: int
     return values
 
 
-def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text (no nulls)."""
+def shingle_bags(texts: pa.Array, size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The sorted distinct shingle hashes of each text (no nulls), and how often each occurs."""
     clean = pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}\p{M}\p{N}]+", " ")
     lists = pc.split_pattern(pc.utf8_trim(clean, " "), " ")
     words = lists.flatten().dictionary_encode()
@@ -126,14 +128,28 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     out = []
     for a, b, none in zip(edges[:-1], edges[1:], empty):
         if none:
-            out.append(np.empty(0, U))
+            out.append((np.empty(0, U), np.empty(0, np.int64)))
         elif b - a < size:
-            out.append(mix((w[a:b] * (salts[: b - a] | U(1))).sum(keepdims=True) + U(b - a)))
+            out.append((mix((w[a:b] * (salts[: b - a] | U(1))).sum(keepdims=True) + U(b - a)), np.ones(1, np.int64)))
         else:
-            out.append(np.unique(rolled[a : b - size + 1]))
+            out.append(np.unique(rolled[a : b - size + 1], return_counts=True))
     return out
 
 
+def occurrences(element: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """A set with an element for each occurrence, so that weighted similarity is that of sets. First occurrences keep their hash."""
+    if not len(times) or times.max() == 1:
+        return element
+    nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    each = np.repeat(element, times)
+    return np.sort(np.where(nth > 0, mix(each + nth.astype(U) * U(0x9E3779B97F4A7C15)), each))
+
+
+def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
+    """occurrences() of the shingles of each text (no nulls)."""
+    return [occurrences(e, n) for e, n in shingle_bags(texts, size)]
+
+
 def node_name(s: np.ndarray) -> bytes:
     """128 bits for a shingle set."""
     return int(s.sum()).to_bytes(8, "big") + int(mix(s ^ U(0xA0761D6478BD642F)).sum()).to_bytes(8, "big")
@@ -143,14 +159,15 @@ def _signatures(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = mix(np.arange(1, rows + 1).astype(U) * U(0x9E3779B97F4A7C15)) | U(1)
         for part, texts in text_slices(batches):
-            sets = shingle_sets(texts, size)
-            for a in range(0, len(sets), 256):
-                some = sets[a : a + 256]
-                full = [s for s in some if len(s)]
+            bags = shingle_bags(texts, size)
+            for a in range(0, len(bags), 256):
+                some = [occurrences(*bag) for bag in bags[a : a + 256]]
+                full = [bag for bag in bags[a : a + 256] if len(bag[0])]
                 keys = iter(())
                 if full:
-                    owner = np.repeat(np.arange(len(full)), [len(s) for s in full])
-                    values = sketch(np.concatenate(full), owner, np.ones(len(owner)), len(full), bands * rows)
+                    owner = np.repeat(np.arange(len(full)), [len(e) for e, _ in full])
+                    weight = np.concatenate([n for _, n in full]).astype(np.float64)
+                    values = sketch(np.concatenate([e for e, _ in full]), owner, weight, len(full), bands * rows)
                     keyed = mix((values.reshape(-1, bands, rows) * salts).sum(axis=2) + np.arange(1, bands + 1).astype(U))
                     keys = iter(keyed.view(np.int64).tolist())
                 yield pa.RecordBatch.from_arrays(
@@ -162,7 +179,7 @@ def _signatures(size: int, bands: int, rows: int):
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id, h long (the text's hash), n int (shingles), node binary (null without a word), bands array<long>."""
+    """doc_id, h long (the text's hash), n int (shingles, repeated ones as well), node binary (null without a word), bands array<long>."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(_signatures(size, bands, rows), f"doc_id {kind}, h long, n int, node binary, bands array<long>")
 
@@ -170,7 +187,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: i
 def _shingles(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches):
-            sets = [s for s in shingle_sets(texts, size)]
+            sets = shingle_sets(texts, size)
             yield pa.RecordBatch.from_arrays([pa.array([node_name(s) if len(s) else None for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
 
     return run
@@ -216,12 +233,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     nodes = materialise(nodes.select("*", F.monotonically_increasing_id().alias("nid")), "nodes")
     spread = nodes.select("nid", "n", F.posexplode("bands").alias("nth", "band"))
     shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialise(spread.join(shared, "band"), "shared-bands")
+    # Stored, here and below, so that a join's exchanges are plain ones, which adaptive execution splits where a key is hot.
+    members = materialise(spread.join(materialise(shared, "shared"), "band"), "shared-bands")
     # The nodes that share the most lead: a group's original, or the copy nearest to it, does.
     degree = members.groupBy("nid").agg(F.sum("size").alias("degree"))
     members = materialise(members.drop("size").join(degree, "nid"), "members")
     wanted = degree.join(nodes, "nid").select("nid", "node", "id")
-    texts = null_safe(docs.select("doc_id", "text"), wanted.select(F.col("id").alias("doc_id")).distinct(), ["doc_id"], "left_semi")
+    wanted_ids = materialise(wanted.select(F.col("id").alias("doc_id")).distinct(), "wanted-ids")
+    texts = flagged(docs.select("doc_id", "text"), F.col("doc_id"), wanted_ids, F.col("doc_id")).where("__maybe").drop("__maybe")
+    texts = null_safe(texts, wanted_ids, ["doc_id"], "left_semi")
     shingles = texts.mapInArrow(_shingles(size), "node binary, shingles array<long>").join(wanted.select("node", "nid"), "node").drop("node")
     shingles = materialise(shingles.dropDuplicates(["nid"]), "shingles")
 
@@ -232,6 +252,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
         # Buckets that hold more than one class still, and the largest class of each.
         by_class = now.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"), F.max("degree").alias("d"))
         open_ = by_class.groupBy("band").agg(F.count(F.lit(1)).alias("classes"), F.sum("k").alias("size"), F.max(F.struct("k", "d", "comp")).alias("m")).where("classes > 1")
+        open_ = materialise(open_, "open")
         now = now_stored = materialise(now.join(open_.select("band", "size", F.col("m.comp").alias("main")), "band").withColumn("inside", F.col("comp") == F.col("main")).drop("main"), "open-buckets")
         largest = now.agg(F.max("size")).first()[0]
         if largest is None:
@@ -255,10 +276,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
         rank = F.row_number().over(W.partitionBy("band", "inside").orderBy(F.desc("degree"), "nid"))
         lead = now.where("inside") if labels is None and tested is None else now
         lead = lead.withColumn("r", rank).where((F.col("r") > done) & (F.col("r") <= leaders)).select("band", F.col("nid").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"), F.col("common").alias("b_common"), F.col("before").alias("b_before"))
+        lead = materialise(lead, "leaders")
         pairs = now.where("not inside").join(lead, "band").where((F.col("comp") != F.col("b_comp")) & (F.least("n", "b_n") >= threshold * F.greatest("n", "b_n") - 1e-9) & enough)
         pairs = pairs.select(F.least("nid", "b").alias("a"), F.greatest("nid", "b").alias("b")).distinct()
         pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        discard(now_stored)
+        for done_with in (now_stored, open_, lead):
+            discard(done_with)
         tested = pairs if tested is None else tested.union(pairs)
         found = materialise(verified(pairs, shingles, threshold), "verified")
         if not found.isEmpty():
@@ -275,9 +298,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
 
 
 def _classes(signed: DataFrame, named: DataFrame) -> DataFrame:
-    named = signed.where("n > 0").select("doc_id", "h", "node").join(named, "node")
+    named = materialise(signed.where("n > 0").select("doc_id", "h", "node").join(named, "node"), "named")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
     classes = named.groupBy("comp").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("class_size"))
+    classes = materialise(classes, "classes")
     named = named.join(classes, "comp").select("doc_id", "h", F.col("first.doc_id").alias("class_id"), "class_size", (place == F.col("first")).alias("kept"))
     rest = signed.where("n = 0").select("doc_id", "h", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     return named.unionByName(rest)
@@ -286,8 +310,12 @@ def _classes(signed: DataFrame, named: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """Of each class the first document by id and text hash, with all its columns."""
     gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    gone = materialise(gone, "near-dropped")
     keyed = docs.withColumns({"__id": F.col("doc_id"), "__h": F.xxhash64("text")})
-    return null_safe(keyed, gone, ["__id", "__h"], "left_anti").select(*docs.columns)
+    # Rows that surely stay are not shuffled.
+    keyed = flagged(keyed, F.struct("__id", "__h"), gone, F.struct("__id", "__h"))
+    rest = null_safe(keyed.where("__maybe"), gone, ["__id", "__h"], "left_anti")
+    return keyed.where("not __maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
 def op1_dart_minhash(spark, sf_dir):
