@@ -294,31 +294,43 @@ def test_training_texts_are_bounded(spark):
 
 def brute_top(queries, candidates, k):
     out = []
-    for q, v in sorted(set((q, tuple(v)) for q, v in queries)):
-        scored = sorted(((-int(np.dot(v, c)), i) for i, c in candidates if i != q))[:k]
+    for q in sorted({q for q, _ in queries}):
+        scored = sorted((-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(v, c)))), i) for v in {tuple(v) for p, v in queries if p == q} for i, c in candidates if i != q)[:k]
         out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("n,k,lists", [(0, 5, 2), (1, 5, 2), (4, 5, 2), (700, 5, 2), (700, 3, 4), (300, 400, 2)])
-def test_top_k_equals_all_scores(spark, n, k, lists, monkeypatch):
+@pytest.mark.parametrize("n,k,lists,scale", [(0, 5, 2, 1), (1, 5, 2, 1), (4, 5, 2, 1), (700, 5, 2, 1), (700, 3, 4, 1e5), (700, 5, 2, 1e14), (300, 400, 2, 1), (300, 5, 2, 1e300)])
+def test_top_k_equals_all_scores(spark, n, k, lists, scale, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "PROBE_ROWS", 16)
     rng = np.random.default_rng(n)
-    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(n)]
+    rows = [(i, [float(x) * scale for x in rng.normal(size=8)]) for i in range(n)]
     rows += [(i, rows[0][1]) for i in range(n, n + 40)] if n > 4 else []  # ties
-    rows += [(10_000, None), (10_001, [None] * 8), (10_002, [float("nan")] + [0.0] * 7), (None, [1.0] * 8), (10_050, [float("inf")] * 8)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
+    rows += [(10_000, None), (10_001, [None] * 8), (10_002, [float("nan")] + [0.0] * 7), (None, [1.0] * 8), (10_050, [float("inf")] * 8), (10_100, [1.0] * 7), (10_150, [])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
     vectors = topk.integer_vectors(table, "vec_id", "embedding", 8)
     flat = [(r["id"], r["vector"]) for r in vectors.collect()]
+    assert len(flat) == n + 40 * (n > 4) and all(v == [max(-(2**63), min(2**63 - 1, math.floor(x * 256))) for x in dict(rows)[i]] for i, v in flat)
     queries = vectors.where("id % 50 = 0")
     got = topk.top_k(queries, vectors, 8, k, lists).collect()
     assert sorted(tuple(r) for r in got) == brute_top([(i, v) for i, v in flat if i % 50 == 0], flat, k)
 
 
-def test_vectors_of_another_length_raise(spark):
-    bad = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")
-    with pytest.raises(Exception, match="components"):
-        topk.integer_vectors(bad, "vec_id", "embedding", 2).collect()
+def test_top_k_skips_products(spark, monkeypatch):
+    """Clustered vectors: the result is whole, and a small part of the products of all pairs is worked out."""
+    monkeypatch.setattr(topk, "BLOCK", 128)
+    monkeypatch.setattr(topk, "PROBE_ROWS", 64)
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(40, 16))
+    rows = [(i, [float(x) for x in middle[i % 40] + 0.05 * rng.normal(size=16)]) for i in range(4000)]
+    rows += [(i, rows[7][1]) for i in range(4000, 4100)]
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 16)
+    flat = [(r["id"], r["vector"]) for r in vectors.collect()]
+    report = {}
+    got = topk.top_k(vectors.where("id % 50 = 0"), vectors, 16, 5, report=report).collect()
+    assert sorted(tuple(r) for r in got) == brute_top([(i, v) for i, v in flat if i % 50 == 0], flat, 5)
+    assert report["share"] < 0.25
 
 
 # Line dedup
