@@ -40,6 +40,8 @@ from .common import materialise, null_safe, table
 MIN_WORDS = 5
 #: Halves of long lines are cut at multiples of this, so that lines a word apart share the cut.
 GRAIN = 4
+#: Words of the lines whose variants are made at once, or those of one longer line.
+SLICE_WORDS = 1 << 18
 U = np.uint64
 BASES = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 
@@ -138,8 +140,11 @@ def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(v1, v2, at, id): at -1 for the line itself, else the number of the word deleted."""
     for b in batches:
-        for a in range(0, b.num_rows, 4096):
-            part = b.slice(a, 4096)
+        ends = np.cumsum(pc.add(pc.count_substring_regex(b.column("words"), r"\s+"), 1).to_numpy())
+        a = 0
+        while a < b.num_rows:
+            to = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_WORDS, "right")))
+            part, a = b.slice(a, to - a), to
             lines = Lines(part.column("words"))
             ids = part.column("id").to_numpy()
             each = np.arange(len(ids))

@@ -6,8 +6,11 @@
    standardised statistics.
 3. Normal equations: each partition sums z z' and z y over its labelled rows; the sums are
    added up cell by cell, and the driver solves for `features` + 1 weights.
-4. Isotonic calibration: labelled scores are counted in CALIBRATION_BINS bins, and pool
-   adjacent violators turns the bins' label means into a rising curve from 0 to 1.
+4. Isotonic calibration: the rows are dealt into two folds by a hash of their statistics, and
+   each fold is scored by the weights of the other, since the ridge fits its own rows too
+   closely. These scores are counted in CALIBRATION_BINS bins, and pool adjacent violators
+   turns the bins' label means into a rising curve from 0 to 1. The sums of both folds together
+   give the weights that score documents.
 
 What reaches the driver is bounded by `features` and CALIBRATION_BINS.
 
@@ -165,28 +168,36 @@ def fit(labelled: DataFrame, features: int = FEATURES, ridge: float = RIDGE) ->
     scale = np.sqrt(np.maximum(1e-6, np.array(row["q"]) / row["n"] - mean**2))
     rng = np.random.default_rng(SEED)
     model = Model(mean, scale, rng.normal(0, 1 / WIDTH, (d, features)), rng.uniform(0, 2 * np.pi, features), np.zeros(features + 1), (np.array([0.0]), np.array([0.5])))
+    folded = labelled.withColumn("fold", F.pmod(F.xxhash64("stats"), F.lit(2)).cast("int"))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((features + 1, features + 2))
+        total = np.zeros((2, features + 1, features + 2))
         for b in batches:
-            if b.num_rows:
-                z = model.features(_stack(b))
-                total += z.T @ np.column_stack([z, b.column("y").to_numpy()])
-        yield pa.RecordBatch.from_pydict({"row": list(range(features + 1)), "cells": list(total)}, schema=pa.schema([("row", pa.int32()), ("cells", pa.list_(pa.float64()))]))
-
-    cells = labelled.mapInArrow(sums, "row int, cells array<double>").select("row", F.posexplode("cells").alias("col", "v"))
-    a = np.zeros((features + 1, features + 2))
-    for r in cells.groupBy("row", "col").agg(F.sum("v").alias("v")).collect():
-        a[r["row"], r["col"]] = r["v"]
-    model.weights = np.linalg.solve(a[:, :-1] + ridge * row["n"] / features * np.eye(features + 1), a[:, -1])
+            z, y, fold = model.features(_stack(b)) if b.num_rows else None, b.column("y").to_numpy(), b.column("fold").to_numpy()
+            for k in (0, 1):
+                if (fold == k).any():
+                    total[k] += z[fold == k].T @ np.column_stack([z, y])[fold == k]
+        at = [(k, i) for k in (0, 1) for i in range(features + 1)]
+        yield pa.RecordBatch.from_pydict({"fold": [k for k, _ in at], "row": [i for _, i in at], "cells": [total[x] for x in at]}, schema=pa.schema([("fold", pa.int32()), ("row", pa.int32()), ("cells", pa.list_(pa.float64()))]))
+
+    cells = folded.mapInArrow(sums, "fold int, row int, cells array<double>").select("fold", "row", F.posexplode("cells").alias("col", "v"))
+    a = np.zeros((2, features + 1, features + 2))
+    for r in cells.groupBy("fold", "row", "col").agg(F.sum("v").alias("v")).collect():
+        a[r["fold"], r["row"], r["col"]] = r["v"]
+    # The constant feature's own sum is the number of rows.
+    solve = lambda m: np.linalg.solve(m[:, :-1] + ridge * max(1, m[-1, -2]) / features * np.eye(features + 1), m[:, -1])
+    model.weights = solve(a.sum(axis=0))
+    others = np.stack([solve(a[1]), solve(a[0])])
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = model.raw(_stack(b))
+            if not b.num_rows:
+                continue
+            s = (model.features(_stack(b)) * others[b.column("fold").to_numpy()]).sum(axis=1)
             at = np.clip((s + 1) / 3 * CALIBRATION_BINS, 0, CALIBRATION_BINS - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(s), b.column("y")], ["bin", "s", "y"])
 
-    bins = labelled.mapInArrow(binned, "bin int, s double, y int").groupBy("bin").agg(F.avg("s").alias("s"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect()
+    bins = folded.mapInArrow(binned, "bin int, s double, y int").groupBy("bin").agg(F.avg("s").alias("s"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect()
     curve = isotonic(np.array([r["y"] for r in bins]), np.array([r["n"] for r in bins]))
     model.curve = (np.array([r["s"] for r in bins]), curve)
     return model

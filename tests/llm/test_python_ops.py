@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import regex
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -94,28 +95,40 @@ def test_sketch_estimates_weighted_similarity():
 # Sharding
 
 
-def test_shards_are_even_whole_and_keep_small_groups(spark):
-    rng = random.Random(2)
-    texts = [(k, f"{k} " + "é" * rng.randrange(900)) for k in range(3000)] + [(k, "copy " * 5) for k in range(3000, 3040)] + [(None, None), (7, ""), (7, ""), (8, LONG)]
-    rows = sharding.shard_by_bytes(documents(spark, texts), 12).collect()
-    assert len(rows) == len(texts)
-    want = sorted((len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for _, t in texts)
-    assert sorted((r["size"], r["text_crc32"]) for r in rows) == want
-    by = {}
-    for r in rows:
-        by.setdefault(r["shard"], []).append(r)
-    assert all(sorted(r["slot"] for r in x) == list(range(len(x))) for x in by.values())
-    total = sum(r["size"] for r in rows)
-    # Off by the longest text at most, as texts are not cut, or by a group that stays together.
-    assert all(abs(sum(r["size"] for r in x) - total / 12) <= len(LONG) + 16 for x in by.values())
-    assert len({r["shard"] for r in rows if r["text_crc32"] == zlib.crc32(b"copy " * 5)}) == 1
-    assert sharding.shard_by_bytes(documents(spark, texts).where("false"), 12).collect() == []
-
-
-def test_a_large_group_is_cut(spark):
-    rows = sharding.shard_by_bytes(documents(spark, [(k, "same text") for k in range(1000)] + [(k, str(k)) for k in range(2000, 3000)]), 10).collect()
-    sizes = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(10)]
-    assert max(sizes) - min(sizes) <= 60
+def brute_shards(rows, shards, max_group):
+    """(doc_id, size, crc32, shard, slot), from the order, the groups and the targets themselves."""
+    raw = [((t or "").encode(), i) for i, t in rows]
+    order = sorted((np.int64(np.uint64(xxhash.xxh64_intdigest(b, 42))).item(), i is not None, i or 0, len(b) + 16, zlib.crc32(b), i) for b, i in raw)
+    total = sum(r[3] for r in order)
+    target, at, spans, starts = max(1.0, total / shards), 0, {}, []
+    for h, _, _, size, _, _ in order:
+        low, _ = spans.get(h, (at, at))
+        spans[h] = (low, at + size)
+        starts.append(at)
+        at += size
+    out, used = [], {}
+    for (h, _, _, size, crc, i), start in zip(order, starts):
+        low, high = spans[h] if spans[h][1] - spans[h][0] <= max_group * target else (start, start + size)
+        shard = min(shards - 1, int((low + high) / 2 // target))
+        out.append((i, size, crc, shard, used.setdefault(shard, 0)))
+        used[shard] += 1
+    return sorted(out, key=repr)
+
+
+SHARDED = [(k, f"{k} " + "é" * (k * 7919 % 900)) for k in range(3000)] + [(k, "copy " * 5) for k in range(3000, 3040)] + [(k, f"pair {k % 50}" * 40) for k in range(4000, 4100)] + [(None, None), (7, ""), (7, ""), (8, LONG)]
+
+
+@pytest.mark.parametrize("max_group", [0.0, 0.01, sharding.MAX_GROUP, 2.0])
+def test_shards_equal_brute_force(spark, max_group):
+    for rows, shards in ((SHARDED, 12), (SHARDED[:200], 40), ([(k, "same text") for k in range(1000)] + [(k, str(k)) for k in range(2000, 3000)], 10)):
+        got = sharding.shard_by_bytes(documents(spark, rows), shards, max_group=max_group).collect()
+        assert sorted([(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got], key=repr) == brute_shards(rows, shards, max_group)
+        # Each end of a shard is off its target by half of what lies across it, a document or a group, at most.
+        total = sum(r["size"] for r in got)
+        most = max(max(r["size"] for r in got), max_group * total / shards)
+        sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(shards)]
+        assert all(abs(x - total / shards) <= most for x in sizes)
+    assert sharding.shard_by_bytes(documents(spark, SHARDED).where("false"), 12).collect() == []
 
 
 # Quality
@@ -135,6 +148,33 @@ def test_quality_on_held_out_rows(spark):
     assert all(abs(again[r["doc_id"]] - r["score"]) < 1e-6 for r in scored)
 
 
+def test_weights_and_curve_equal_a_direct_solve(spark):
+    """Features, normal equations and the folds' calibration worked out at once from all rows."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, len(quality.STATS)))
+    y = (x[:, 0] + 0.5 * x[:, 3] ** 2 + rng.normal(0, 0.5, 600) > 0.4).astype(int)
+    labelled = spark.createDataFrame([([float(v) for v in s], int(k)) for s, k in zip(x, y)], "stats array<double>, y int").repartition(5)
+    model = quality.fit(labelled, features=32)
+    rows = labelled.select("stats", "y", F.pmod(F.xxhash64("stats"), F.lit(2)).alias("fold")).collect()
+    x, y, fold = (np.array([r[c] for r in rows]) for c in ("stats", "y", "fold"))
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, x.std(axis=0))
+    z = model.features(x)
+
+    def direct(some):
+        penalty = quality.RIDGE * len(some) / 32 * np.eye(33)
+        return np.linalg.lstsq(np.vstack([z[some], np.linalg.cholesky(penalty).T]), np.concatenate([y[some], np.zeros(33)]), rcond=None)[0]
+
+    assert np.allclose(model.weights, direct(np.arange(600)), atol=1e-8)
+    out = np.where(fold == 0, z @ direct(np.flatnonzero(fold == 1)), z @ direct(np.flatnonzero(fold == 0)))
+    at = np.clip((out + 1) / 3 * quality.CALIBRATION_BINS, 0, quality.CALIBRATION_BINS - 1).astype(int)
+    bins = sorted(set(at))
+    means, sizes = [y[at == b].mean() for b in bins], [(at == b).sum() for b in bins]
+    # The closest rising sequence is the largest of the smallest means over all stretches.
+    mean = lambda i, j: np.average(means[i : j + 1], weights=sizes[i : j + 1])
+    curve = [max(min(mean(i, j) for j in range(k, len(bins))) for i in range(k + 1)) for k in range(0, len(bins), 40)]
+    assert np.allclose(model.curve[0], [out[at == b].mean() for b in bins], atol=1e-8) and np.allclose(model.curve[1][::40], curve)
+
+
 def test_quality_cases(spark):
     docs = documents(spark, [(None, None), (1, ""), (1, ""), (2, LONG), (3, " \n")])
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, None, 0), (None, 1, 1), (3, 5, 0)], "doc_id long, quality int, toxic int")
@@ -361,7 +401,7 @@ def distance(a, b):
     return row[-1]
 
 
-def test_line_dedup_equals_all_pairs(spark):
+def test_line_dedup_equals_all_pairs(spark, tmp_path, monkeypatch):
     rng = random.Random(7)
     vocab = "a b c d e".split()
     lines = []
@@ -384,6 +424,11 @@ def test_line_dedup_equals_all_pairs(spark):
     keep = lambda i, t: t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[(i, t)])
     assert sorted([(r["doc_id"], r["text"]) for r in got.collect()], key=repr) == sorted([(i, keep(i, t)) for i, t in rows], key=repr)
     assert line_dedup.dropped_lines(docs.where("false")).collect() == []
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for slice_words in (line_dedup.SLICE_WORDS, 40):
+        monkeypatch.setattr(line_dedup, "SLICE_WORDS", slice_words)
+        told = line_dedup.op10_deletion_line_dedup(spark, str(tmp_path)).collect()
+        assert sorted([tuple(r) for r in told], key=repr) == sorted([(i, (t or "").count("\n") + 1, len(want[(i, t)]), want[(i, t)]) for i, t in rows], key=repr)
 
 
 @given(st.lists(st.sampled_from("abc"), max_size=7), st.lists(st.sampled_from("abc"), max_size=7))
