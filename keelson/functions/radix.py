@@ -44,11 +44,3 @@ def shifted_radix(key: Column, radix: int, shift: int) -> Column:
 def stripe_shift(rows: int, radix: int) -> int:
     """Shift at which each partition is two contiguous stripes of the keys 1 to rows."""
     return max(0, lg_ceil(rows) - radix - 1)
-
-
-def at_most(*columns: Column) -> Column:
-    return F.least(*columns)
-
-
-def at_least(*columns: Column) -> Column:
-    return F.greatest(*columns)

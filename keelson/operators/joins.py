@@ -8,13 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.chooser import DEFAULT_BUDGET, Decision, choose
+from ..plans.chooser import DEFAULT_BUDGET, Decision, choose, worth_sampling
+from . import skew
 from .layout import partition_by_key
 
 #: Copies of a hot key's row of R; its rows of S are dealt over them.
 SALTS = 32
 #: A key is hot with over this share of S's rows: so there are fewer than 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
+#: Part of S's rows in which hot keys are looked for, and the rows of a key that make it hot there at least.
+HOT_SAMPLE, HOT_ROWS = 0.02, 8
+#: Partitions, in bits, over which skew shows: as many as the join would have, and at least so many.
+SKEW_RADIX = 3
 
 
 def as_relation(df: DataFrame, key: str, payload: str | None = None) -> DataFrame:
@@ -42,11 +47,14 @@ def skew_join(r: DataFrame, s: DataFrame) -> DataFrame:
 
 
 def salted_join(r: DataFrame, s: DataFrame, salts: int = SALTS, hot_share: float = HOT_SHARE) -> DataFrame:
-    """Hot keys of S are dealt over salts; only their rows of R are repeated. Does not rely on adaptive execution."""
-    counts = s.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    total = s.count()
-    # Under 1 / hot_share rows.
-    hot = counts.where((F.col("n") > hot_share * total) & F.col("key").isNotNull()).select("key", F.lit(True).alias("hot"))
+    """Hot keys of S are dealt over salts; only their rows of R are repeated. Does not rely on adaptive execution.
+
+    Which keys count as hot comes from a sample and changes the load of tasks, not the result.
+    """
+    counts = s.sample(HOT_SAMPLE, seed=1).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    # Under 1 / hot_share rows, against one row.
+    hot = counts.join(F.broadcast(total), F.col("n") > hot_share * F.col("total")).where((F.col("n") >= HOT_ROWS) & F.col("key").isNotNull()).select("key", F.lit(True).alias("hot"))
     mark = lambda df: df.join(F.broadcast(hot), "key", "left")
     dealt = mark(s).withColumn("salt", F.when(F.col("hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).otherwise(0))
     copies = mark(r).withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
@@ -61,8 +69,24 @@ def join(r: DataFrame, s: DataFrame, decision: Decision) -> DataFrame:
     return {"merge": merge_join, "skew": skew_join, "salt": salted_join}[decision.strategy](r, s)
 
 
-def auto_join(r: DataFrame, s: DataFrame, primary_rows: int, foreign_rows: int, budget: int = DEFAULT_BUDGET, skewed: bool = False, strategy: str = "auto") -> DataFrame:
-    return join(r, s, choose(primary_rows, foreign_rows, budget, skewed, strategy))
+def decide(r: DataFrame, s: DataFrame, primary_rows: int, foreign_rows: int, budget: int = DEFAULT_BUDGET, strategy: str = "auto", radix: int | None = None, sample: DataFrame | None = None) -> Decision:
+    """The strategy for a join, from sizes and, where it matters, from S's skew in a sample (key, worker).
+
+    Skew matters if the join would be partitioned, its partitioning isn't given, and S is large
+    against R. The sample is the first block of each partition of S unless one is given.
+    """
+    first = choose(primary_rows, foreign_rows, budget, False, strategy, radix=radix)
+    if strategy != "auto" or radix is not None or first.radix == 0 or not worth_sampling(primary_rows, foreign_rows):
+        return first
+    found = skew.sampled(skew.first_blocks(s) if sample is None else sample, max(SKEW_RADIX, first.radix))
+    return choose(primary_rows, foreign_rows, budget, found, strategy)
+
+
+def checked(r: DataFrame) -> DataFrame:
+    """r, if its keys are unique; else the input contract is broken and its duplicates are refused."""
+    if not duplicate_keys(r).where("key is not null").isEmpty():
+        raise ValueError("the primary-key relation has a key twice")
+    return r
 
 
 def summary(r: DataFrame, joined: DataFrame, verify: bool = False) -> DataFrame:

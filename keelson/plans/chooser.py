@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
-
 from ..functions.radix import lg_ceil
 
 STRATEGIES = ("broadcast", "shuffle_hash", "merge", "skew", "salt")
@@ -37,23 +35,23 @@ def size_radix(primary_bytes: int, budget: int) -> int:
     return lg_ceil(max(1, primary_bytes * 3 // (budget * 2)))
 
 
-def choose(primary_rows: int, foreign_rows: int, budget: int = DEFAULT_BUDGET, skewed: bool = False, strategy: str = "auto", row_bytes: int = ROW_BYTES, limit: int = BROADCAST_LIMIT) -> Decision:
-    """A named strategy skips both checks, but for the limit of a broadcast."""
+def choose(primary_rows: int, foreign_rows: int, budget: int = DEFAULT_BUDGET, skewed: bool = False, strategy: str = "auto", row_bytes: int = ROW_BYTES, limit: int = BROADCAST_LIMIT, radix: int | None = None) -> Decision:
+    """A named strategy skips both checks, but for the limit of a broadcast. A given radix is left as it is."""
     size = primary_rows * row_bytes
-    radix = size_radix(size, budget)
+    bits = size_radix(size, budget) if radix is None else radix
     if strategy != "auto":
         if strategy not in STRATEGIES:
             raise ValueError(f"unknown strategy {strategy!r}: {', '.join(('auto', *STRATEGIES))}")
         if strategy == "broadcast" and size > limit:
             raise ValueError(f"{size} bytes are over the broadcast limit of {limit}")
-        return Decision(strategy, radix, size, skewed)
-    if radix == 0 and size <= limit:
+        return Decision(strategy, bits, size, skewed)
+    if bits == 0 and size <= limit:
         return Decision("broadcast", 0, size, skewed)
-    if skewed and primary_rows and foreign_rows // primary_rows >= SKEW_RATIO:
-        return Decision("broadcast" if size <= min(limit, 4 * budget) else "skew", radix + 1, size, True)
-    return Decision("shuffle_hash", radix, size, skewed)
+    if skewed and radix is None and worth_sampling(primary_rows, foreign_rows):
+        return Decision("broadcast" if size <= min(limit, 4 * budget) else "skew", bits + 1, size, True)
+    return Decision("shuffle_hash", bits, size, skewed)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a plan's output."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def worth_sampling(primary_rows: int, foreign_rows: int) -> bool:
+    """Whether skew of the foreign side would change a partitioned join."""
+    return primary_rows > 0 and foreign_rows // primary_rows >= SKEW_RATIO

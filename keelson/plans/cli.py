@@ -7,18 +7,14 @@ from __future__ import annotations
 
 import argparse
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.radix import low_radix
-from ..operators import joins, layout, skew
+from ..operators import joins, layout
 from ..sources import generators as gen
 from ..sources.tables import report
-from .chooser import DEFAULT_BUDGET, STRATEGIES, choose
-
-SAMPLE_WORKERS = 8
+from .chooser import DEFAULT_BUDGET, STRATEGIES, Decision
 
 
 def parse(args: Sequence[str]) -> argparse.Namespace:
@@ -29,16 +25,34 @@ def parse(args: Sequence[str]) -> argparse.Namespace:
     p.add_argument("--threads", type=int, default=0, help="local threads; 0 for all")
     p.add_argument("--budget", type=int, default=DEFAULT_BUDGET, help="bytes of the primary side that a worker may hold")
     p.add_argument("--strategy", default="auto", choices=("auto", *STRATEGIES))
+    p.add_argument("--radix", type=int, help="bits of the partitioning, left as they are whatever the sizes and the skew")
     p.add_argument("--verify", action="store_true", help="sum matched keys instead of payloads")
+    p.add_argument("--check-keys", action="store_true", help="refuse a primary-key relation that has a key twice")
+    p.add_argument("--phases", action="store_true", help="time the join's phases, each in a run of its own")
     p.add_argument("--explain", action="store_true", help="print the plan")
     return p.parse_args(args)
 
 
-def sampled_skew(s, radix: int) -> bool:
-    """Whether samples of equal size on several workers all see skewed partitions."""
-    n = SAMPLE_WORKERS * layout.BLOCK_ROWS
-    sample = s.limit(n).select("key", F.pmod(F.monotonically_increasing_id(), F.lit(SAMPLE_WORKERS)).alias("worker"))
-    return skew.unanimous(skew.top_two(sample, low_radix(F.col("key"), radix)), 1 << radix).first()["skewed"]
+def _seconds(run: Callable) -> float:
+    began = time.perf_counter()
+    run()
+    return time.perf_counter() - began
+
+
+def phases(r: DataFrame, s: DataFrame, decision: Decision) -> dict[str, float]:
+    """Seconds of the phases that a strategy has.
+
+    Where both sides are dealt by key: Partitioning, and the rest as Build/Probe. Where R goes to
+    every executor: Building, by which its rows are brought together, and the rest as Probing.
+    """
+    drain = lambda df: df.write.format("noop").mode("overwrite").save()
+    whole = _seconds(lambda: joins.join(r, s, decision).write.format("noop").mode("overwrite").save())
+    if decision.strategy == "broadcast":
+        first, names = _seconds(lambda: drain(r.coalesce(1))), ("Building", "Probing")
+    else:
+        bits = decision.radix or joins.SKEW_RADIX
+        first, names = _seconds(lambda: [drain(layout.partition_by_key(side, "key", bits)) for side in (s, r)]), ("Partitioning", "Build/Probe")
+    return dict(zip(names, (first, max(0.0, whole - first))))
 
 
 def main(args: Sequence[str], spark: SparkSession | None = None) -> dict:
@@ -46,8 +60,8 @@ def main(args: Sequence[str], spark: SparkSession | None = None) -> dict:
     spark = spark or SparkSession.builder.master(f"local[{a.threads or '*'}]").getOrCreate()
     r = gen.primary_keys(spark, a.r)
     s = gen.foreign_keys(spark, gen.RelationConfig(a.s, 54_321, a.skew, "S"), a.r).select("key")
-    skewed = a.strategy == "auto" and a.s // max(1, a.r) >= 3 and sampled_skew(s, max(3, choose(a.r, a.s, a.budget).radix))
-    decision = choose(a.r, a.s, a.budget, skewed, a.strategy)
+    r = joins.checked(r) if a.check_keys else r
+    decision = joins.decide(r, s, a.r, a.s, a.budget, a.strategy, a.radix)
     print(f"R={a.r} S={a.s} z={a.skew} {decision.describe()}")
     result = joins.summary(r, joins.join(r, s, decision), a.verify)
     if a.explain:
@@ -55,6 +69,8 @@ def main(args: Sequence[str], spark: SparkSession | None = None) -> dict:
     began = time.perf_counter()
     out = report(result)
     print(f"checksum={out['checksum']} matches={out['matches']} seconds={time.perf_counter() - began:.3f}")
+    if a.phases:
+        print(" ".join(f"{name}={seconds:.3f}" for name, seconds in phases(r, s, decision).items()))
     return out
 
 

@@ -19,6 +19,8 @@ BLOCK = 1_024
 RADIX = 3
 GROUPS = 2
 ZIPF = 1.0
+#: An exponent at which one key has most rows.
+STEEP = 2.0
 SEED = 54_321
 
 
@@ -31,7 +33,7 @@ def _relations(spark: SparkSession, sf_dir: str, foreign: str, key: str, primary
 def _pkfk(spark, sf_dir, foreign="lineitem", key="l_orderkey", primary="orders", strategy="auto", verify=False) -> DataFrame:
     r, s = _relations(spark, sf_dir, foreign, key, primary)
     # Parquet's own row counts: no data is read for them.
-    decision = choose(r.count(), s.count(), strategy=strategy)
+    decision = joins.decide(r, s, r.count(), s.count(), strategy=strategy)
     if strategy == "shuffle_hash":
         decision = type(decision)(strategy, RADIX, decision.primary_bytes, False)
     return joins.summary(r, joins.join(r, s, decision), verify)
@@ -150,6 +152,19 @@ def skew_vote(spark, sf_dir):
     return skew.unanimous(skew.top_two(_sample(spark, sf_dir), low_radix(F.col("user_id"), RADIX)), fanout(RADIX))
 
 
+def _auto(exponent, spark, sf_dir):
+    """A generated S, a sample of it, the decision that follows under a budget of 4 KB, and the join's result."""
+    primary, rows = read(spark, sf_dir, "part").count(), read(spark, sf_dir, "lineitem").count()
+    r = gen.primary_keys(spark, primary)
+    if exponent:
+        s = gen.zipf_ranks(spark, rows, primary, exponent, SEED).select("id", gen.rank_to_key(F.col("rank"), primary, SEED).alias("key"))
+    else:
+        s = spark.range(rows).select("id", (F.col("id") % primary + 1).alias("key"))
+    sample = skew.blocks_by_position(s, "id", rows, WORKERS, BLOCK)
+    d = joins.decide(r, s, primary, rows, budget=4_096, sample=sample)
+    return joins.summary(r, joins.join(r, s.select("key"), d)).select(F.lit(d.skewed).alias("skewed"), F.lit(d.strategy).alias("strategy"), F.lit(d.radix).alias("radix"), "matches", "checksum")
+
+
 def plan_choice(spark, sf_dir):
     """The chooser's decision for each pair of tables under a budget of 64 KB."""
     rows = []
@@ -184,6 +199,7 @@ def queries() -> dict:
     out |= {name: partial(_pkfk, foreign=f, key=k, primary=p) for name, (f, k, p) in PAIRS.items()}
     for f in (gen_primary_keys, gen_permutation, gen_uniform_fk, gen_zipf_cdf, gen_zipf_fk, gen_zipf_keys, radix_low, radix_high, radix_histogram, radix_offsets, slices, blocks, block_histogram, subblock_bounds, stable_scatter, partitioned_join, skew_top2, skew_vote, plan_choice, duplicate_keys, orphan_keys):
         out[f.__name__] = f
+    out["auto_zipf"], out["auto_uniform"] = partial(_auto, STEEP), partial(_auto, 0.0)
     return out
 
 
@@ -192,7 +208,7 @@ q AS (SELECT *, pos - min(pos) OVER (PARTITION BY worker) AS pos_in, count(*) OV
 c AS (SELECT *, CAST(ceil(m / {BLOCK}) AS BIGINT) AS nb FROM q),
 b AS (SELECT event_id, pos, worker, user_id & {mask(RADIX)} AS h,
   CASE WHEN pos_in < (m % nb) * (m // nb + 1) THEN pos_in // (m // nb + 1) ELSE (m % nb) + (pos_in - (m % nb) * (m // nb + 1)) // (m // nb) END AS block FROM c)"""
-_CDF = f"""w AS (SELECT r AS rank, greatest(1, CAST(floor({float(1 << gen.WEIGHT_BITS)} / r) AS BIGINT)) AS weight FROM range(1, (SELECT count(*) FROM part) + 1) AS t(r)),
+_CDF = f"""w AS (SELECT r AS rank, greatest(1, CAST(floor({float(1 << gen.WEIGHT_BITS)}::DOUBLE / r) AS BIGINT)) AS weight FROM range(1, (SELECT count(*) FROM part) + 1) AS t(r)),
 f AS (SELECT rank, weight, CAST(sum(weight) OVER (ORDER BY rank) AS BIGINT) AS cdf FROM w)"""
 _DRAWS = f"""t AS (SELECT max(cdf) AS total FROM f),
 d AS (SELECT i AS id, CAST(('0x' || substr(md5(i || ':{SEED}'), 1, {gen.DRAW_BITS // 4})) AS BIGINT) AS u FROM range(0, (SELECT count(*) FROM lineitem)) AS x(i)),
@@ -204,6 +220,20 @@ v AS (SELECT CAST(worker AS BIGINT) AS worker, max(CASE WHEN r = 1 THEN n END) A
 k AS (SELECT *, first + second > rows * {skew.TOP_TWO_PERCENT} // 100 AS skewed FROM v)"""
 
 
+#: From s(id, key): the sample's vote, the decision and the result. R is 1 to the number of parts, with payload 3 * key + 1.
+_AUTO = f"""n AS (SELECT (SELECT count(*) FROM part) AS r, (SELECT count(*) FROM lineitem) AS s),
+base AS (SELECT r, s, r * 16 AS bytes, CASE WHEN r * 16 * 5 < 4096 * 6 THEN 0 ELSE CAST(ceil(log2(greatest(1, r * 16 * 3 // 8192))) AS INTEGER) END AS radix FROM n),
+pos AS (SELECT id, key, ntile({WORKERS}) OVER (ORDER BY id) AS worker FROM s),
+sample AS (SELECT worker, key FROM (SELECT *, id - min(id) OVER (PARTITION BY worker) AS place FROM pos) WHERE place < {BLOCK}),
+parts AS (SELECT worker, key % CAST(pow(2, greatest(3, radix)) AS BIGINT) AS h, count(*) AS m FROM sample, base GROUP BY 1, 2),
+sorted AS (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY m DESC) AS place FROM parts),
+votes AS (SELECT worker, sum(m) FILTER (WHERE place <= 2) > sum(m) * {skew.TOP_TWO_PERCENT} // 100 AS hot FROM sorted GROUP BY 1),
+said AS (SELECT radix > 0 AND s // r >= 3 AND (SELECT coalesce(bool_and(hot), false) FROM votes) AS skewed, radix, bytes, r FROM base)
+SELECT skewed, CASE WHEN radix = 0 THEN 'broadcast' WHEN skewed THEN CASE WHEN bytes <= 16384 THEN 'broadcast' ELSE 'skew' END ELSE 'shuffle_hash' END AS strategy,
+  CAST(CASE WHEN skewed THEN radix + 1 ELSE radix END AS INTEGER) AS radix,
+  (SELECT count(*) FROM s) AS matches, CAST((SELECT sum(3 * key + 1) FROM s) + r * (r + 1) // 2 AS BIGINT) AS checksum FROM said"""
+
+
 def _choice_sql() -> str:
     pairs = " UNION ALL ".join(f"SELECT '{p}' AS primary_table, '{f}' AS foreign_table, (SELECT count(*) FROM {p}) AS n, (SELECT count(*) FROM {f}) AS m" for f, p in (("lineitem", "orders"), ("lineitem", "part"), ("lineitem", "supplier"), ("orders", "customer")))
     return f"""WITH s AS ({pairs}), x AS (SELECT *, n * 16 AS bytes, s2.skewed FROM s, (VALUES (false), (true)) AS s2(skewed)),
@@ -247,6 +277,11 @@ FROM g JOIN b ON b.worker = g.worker AND b.block = g.block GROUP BY 1, 2, 3"""
     out["skew_top2"] = f"{_VOTES} SELECT worker, first, second, rows, skewed FROM k"
     out["skew_vote"] = f"{_VOTES} SELECT count(*) AS workers, coalesce(bool_and(skewed), false) AS skewed FROM k"
     out["plan_choice"] = _choice_sql()
+    steps = f"""p AS (SELECT count(*) AS p FROM part),
+g AS (SELECT p, step FROM (SELECT p, CASE WHEN raw % p = 0 THEN 1 ELSE raw % p END AS base FROM (SELECT p, greatest(1, CAST(trunc(p * 0.618::DOUBLE) AS BIGINT) + {SEED} % 97) AS raw FROM p)), LATERAL (SELECT min(x) AS step FROM range(base, base + 1000) AS t(x) WHERE gcd(x, p) = 1))"""
+    cdf = _CDF.replace("/ r)", f"/ pow(r, {STEEP}))")
+    out["auto_zipf"] = f"WITH {cdf}, {_DRAWS}, {steps}, s AS (SELECT id, ((rank - 1) * step + {SEED}) % p + 1 AS key FROM z, g), {_AUTO}"
+    out["auto_uniform"] = f"WITH s AS (SELECT i AS id, i % (SELECT count(*) FROM part) + 1 AS key FROM range(0, (SELECT count(*) FROM lineitem)) AS x(i)), {_AUTO}"
     out["duplicate_keys"] = "SELECT count(*) AS n FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)"
     out["orphan_keys"] = "SELECT count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"
     return out

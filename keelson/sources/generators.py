@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions.position import running_total
 
-#: Draws are made of so many random bits, and weights are cut to integers below 2**WEIGHT_BITS.
-DRAW_BITS = 28
-WEIGHT_BITS = 30
+#: Draws are made of so many random bits, and weights are cut to integers of at most 2**WEIGHT_BITS. As long as the
+#: weights' sum is below 2**DRAW_BITS, which it is up to 2**DRAW_BITS / 2**WEIGHT_BITS ranks for any exponent and up to
+#: 2**48 ranks for exponents of 1 and more, every rank can be drawn.
+DRAW_BITS = 60
+WEIGHT_BITS = 40
+#: A rank that covers more buckets than this is listed by several tasks.
+BUCKETS_A_TASK = 65_536
 
 
 @dataclass(frozen=True)
@@ -74,7 +78,12 @@ def inverse_cdf(draws: DataFrame, cdf: DataFrame, total: int, ranks: int) -> Dat
     """
     width = max(1, total // max(1, ranks))
     low = F.col("cdf") - F.col("weight")
-    listed = cdf.select("rank", low.alias("low"), F.col("cdf").alias("high"), F.explode(F.sequence(F.floor(low / width), F.floor((F.col("cdf") - 1) / width))).alias("bucket"))
+    ranks_in = cdf.select("rank", low.alias("low"), F.col("cdf").alias("high"), F.floor(low / width).alias("b0"), F.floor((F.col("cdf") - 1) / width).alias("b1"))
+    wide = F.col("b1") - F.col("b0") >= BUCKETS_A_TASK
+    # The few ranks that cover many buckets: their stretches of buckets are dealt out before they are listed.
+    starts = ranks_in.where(wide).withColumn("b0", F.explode(F.sequence("b0", "b1", F.lit(BUCKETS_A_TASK))))
+    stretches = starts.withColumn("b1", F.least("b1", F.col("b0") + BUCKETS_A_TASK - 1)).repartition("rank", "b0")
+    listed = ranks_in.where(~wide).unionByName(stretches).withColumn("bucket", F.explode(F.sequence("b0", "b1"))).drop("b0", "b1")
     keyed = draws.withColumn("bucket", F.floor(F.col("draw") / width))
     return keyed.join(listed, "bucket").where((F.col("draw") >= F.col("low")) & (F.col("draw") < F.col("high"))).drop("bucket", "low", "high")
 
@@ -91,8 +100,8 @@ def zipf_ranks(spark: SparkSession, rows: int, primary: int, skew: float, seed:
     """id, rank of each drawn row."""
     cdf = zipf_cdf(spark, primary, skew)
     total = cdf.agg(F.sum("weight")).first()[0]
-    # The weights' sum is below 2**(WEIGHT_BITS + 5) for any number of ranks that fits; the product stays in 63 bits.
-    scaled = F.floor(hash_draw(F.col("id"), seed).cast("decimal(20,0)") * F.lit(total) / F.lit(1 << DRAW_BITS)).cast("long")
+    # The product has up to 37 digits.
+    scaled = F.call_function("div", hash_draw(F.col("id"), seed).cast("decimal(19,0)") * F.lit(total).cast("decimal(18,0)"), F.lit(1 << DRAW_BITS).cast("decimal(19,0)"))
     return inverse_cdf(spark.range(rows).withColumn("draw", scaled), cdf, total, primary).select("id", "rank")
 
 

@@ -9,7 +9,7 @@ from keelson.functions import radix
 from keelson.functions.position import with_position
 from keelson.operators import joins, layout, skew
 from keelson.plans.chooser import Decision, choose, size_radix
-from keelson.plans.cli import main, parse
+from keelson.plans.cli import main, parse, phases
 from keelson.sources import generators as gen
 
 STRATEGIES = ["broadcast", "shuffle_hash", "merge", "skew", "salt"]
@@ -144,6 +144,79 @@ def test_skew_votes(spark):
     assert skew.unanimous(skew.top_two(hot, radix.low_radix(F.col("key"), 1)), 2).first()["workers"] == 2
 
 
+def test_every_worker_s_first_block_is_sampled(spark):
+    s = spark.range(0, 4000, 1, 4).select((F.col("id") * 10).alias("key"))
+    got = skew.first_blocks(s, 100).collect()
+    assert sorted((r["worker"], r["key"]) for r in got) == [(w, (w * 1000 + k) * 10) for w in range(4) for k in range(100)]
+    by_place = skew.blocks_by_position(s.withColumn("pos", F.col("key") / 10), "pos", 4000, 3, 5).collect()
+    assert sorted((r["worker"], r["key"]) for r in by_place) == [(w, (start + k) * 10) for w, start in ((0, 0), (1, 1334), (2, 2667)) for k in range(5)]
+    assert skew.first_blocks(s.where("false"), 100).collect() == []
+
+
+def test_skew_is_sampled_where_it_matters(spark, monkeypatch):
+    r = gen.primary_keys(spark, 1000)
+    hot = spark.range(0, 20_000, 1, 4).select(F.when(F.col("id") % 2 == 0, 8).otherwise(F.pmod(F.xxhash64("id"), F.lit(1000)) + 1).cast("long").alias("key"))
+    even = spark.range(0, 20_000, 1, 4).select((F.pmod(F.xxhash64("id"), F.lit(1000)) + 1).alias("key"))
+    # Sorted by key, S's head has few keys but its slices don't all.
+    ordered = spark.range(0, 20_000, 1, 4).select((F.floor(F.col("id") / 20) + 1).alias("key"))
+    late = hot.withColumn("key", F.when(F.spark_partition_id() == 0, F.monotonically_increasing_id() % 1000 + 1).otherwise(F.col("key")))
+    decide = lambda s, **more: joins.decide(r, s, 1000, 20_000, budget=1_000, **more)
+    assert (decide(hot).strategy, decide(hot).skewed, decide(hot).radix) == ("skew", True, decide(even).radix + 1)
+    for s in (even, ordered, late):
+        assert (decide(s).strategy, decide(s).skewed) == ("shuffle_hash", False)
+    assert decide(hot, radix=2) == Decision("shuffle_hash", 2, 16_000, False)
+    assert decide(hot, strategy="merge").strategy == "merge"
+    # No sample is taken where it can't change the plan.
+    monkeypatch.setattr(skew, "first_blocks", None)
+    assert joins.decide(r, hot, 1000, 20_000).strategy == "broadcast" and joins.decide(r, hot, 1000, 2_999, budget=1_000).strategy == "shuffle_hash"
+
+
+def test_a_skewed_partition_is_split(spark):
+    """The plan that ran over a Zipf relation, chosen on the automatic path, has a skew join."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        r = gen.primary_keys(spark, 2000)
+        s = gen.zipf_ranks(spark, 60_000, 2000, 2.0).select(gen.rank_to_key(F.col("rank"), 2000, 54_321).alias("key"), F.xxhash64("id").alias("other")).repartition(8)
+        decision = joins.decide(r, s, 2000, 60_000, budget=4_096)
+        assert (decision.strategy, decision.skewed) == ("skew", True)
+        joined = joins.join(r, s, decision)
+        assert len(joined.collect()) == 60_000
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan and "skew=true" in plan
+        assert joins.summary(r, joined).first()["matches"] == 60_000
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
+def test_a_primary_key_that_stands_twice_is_refused(spark):
+    r = gen.primary_keys(spark, 10)
+    assert joins.checked(r).count() == 10
+    with pytest.raises(ValueError):
+        joins.checked(r.union(r))
+
+
+def test_a_rank_that_covers_many_buckets(spark, monkeypatch):
+    want = gen.zipf_ranks(spark, 3000, 500, 1.0).groupBy("rank").count().collect()
+    monkeypatch.setattr(gen, "BUCKETS_A_TASK", 7)
+    assert sorted(gen.zipf_ranks(spark, 3000, 500, 1.0).groupBy("rank").count().collect()) == sorted(want)
+
+
+def test_phases_of_a_join(spark):
+    r, s = gen.primary_keys(spark, 100), gen.uniform_foreign_keys(spark, 300, 100).select("key")
+    assert list(phases(r, s, Decision("broadcast", 0, 0, False))) == ["Building", "Probing"]
+    assert list(phases(r, s, Decision("skew", 2, 0, False))) == ["Partitioning", "Build/Probe"]
+
+
+def test_permutation_is_in_the_order_of_the_seed(spark):
+    keys = [r["key"] for r in gen.primary_keys(spark, 500, ordered=True).collect()]
+    other = [r["key"] for r in gen.primary_keys(spark, 500, seed=6, ordered=True).collect()]
+    assert sorted(keys) == sorted(other) == list(range(1, 501)) and keys != other and keys != sorted(keys)
+    assert keys == [r["id"] for r in spark.range(1, 501).orderBy(F.xxhash64("id", F.lit(12_345)), "id").collect()]
+
+
 def test_choices():
     assert choose(1000, 10_000).strategy == "broadcast"
     assert choose(10**9, 10**9).strategy == "shuffle_hash"
@@ -163,5 +236,8 @@ def test_command_line(spark, capsys):
     assert parse(["--r=5", "--s=9"]).skew == 0
     assert main(["--r=100", "--s=1000", "--skew=1.0", "--strategy=salt"], spark) == {"matches": 1000, "checksum": main(["--r=100", "--s=1000", "--skew=1.0"], spark)["checksum"]}
     assert "strategy=" in capsys.readouterr().out
+    main(["--r=100", "--s=1000", "--radix=3", "--check-keys", "--phases"], spark)
+    said = capsys.readouterr().out
+    assert "strategy=shuffle_hash partitions=8" in said and "Partitioning=" in said and "Build/Probe=" in said
     with pytest.raises(SystemExit):
         parse(["--unknown=1"])
