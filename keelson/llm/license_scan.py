@@ -19,6 +19,10 @@ Main path: DataFrame functions only.
   looked at. Runs that touch a line which the template matches by itself are left out, and
   of a template's runs that overlap the first is a block.
 
+Whole texts are read once: their word counts, phrase places and template tokens go into small
+stored rows, from which the global order comes. Only texts that hold enough tokens of some
+template are read again and cut into blocks.
+
 Empty and null texts have no word and no label. Repeated rows each get their own row.
 """
 
@@ -29,11 +33,12 @@ import math
 import re
 import string
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import null_safe, table
+from .common import flagged, materialise, null_safe, place, stored, table
 
 # Phrases of the base scan and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -54,8 +59,6 @@ TEMPLATES = {
 
 THRESHOLD = 0.9
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words in text whose capitals still stand.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _lower_ascii(text: Column) -> Column:
@@ -77,7 +80,8 @@ def _phrase_starts(ws: Column, phrase: str) -> Column:
             hit = hit & (F.get(ws, i + k) == part)
         return hit
 
-    return F.when(n >= 0, F.filter(F.sequence(F.lit(0), n), stands)).otherwise(F.array().cast("array<int>"))
+    # Most texts lack the phrase's last word.
+    return F.when((n >= 0) & F.array_contains(ws, parts[-1]), F.filter(F.sequence(F.lit(0), n), stands)).otherwise(F.array().cast("array<int>"))
 
 
 def _template_rows(templates: Mapping[str, list[str]]) -> list[tuple[int, str, list[str]]]:
@@ -100,13 +104,20 @@ def _literal(df: DataFrame, rows: list, schema: str) -> DataFrame:
     return df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
 
 
-def _plan(docs: DataFrame, templates: Mapping[str, list[str]], threshold: float) -> tuple[list[dict], list[dict], dict[str, int]]:
-    """The templates with their tokens in the global order, their prefix tokens, and that order."""
-    rows = _template_rows(templates)
-    vocabulary = sorted({t for _, _, tokens in rows for t in tokens})
-    vocab = F.array(*[F.lit(t) for t in vocabulary])
+def _vocabulary(templates: Mapping[str, list[str]]) -> list[str]:
+    return sorted({t for _, _, tokens in _template_rows(templates) for t in tokens})
+
+
+def _known(ws: Column, templates: Mapping[str, list[str]]) -> Column:
+    """The distinct template tokens among words."""
+    return F.array_intersect(F.array(*[F.lit(t) for t in _vocabulary(templates)]), ws)
+
+
+def _plan(known: DataFrame, templates: Mapping[str, list[str]], threshold: float) -> tuple[list[dict], list[dict], dict[str, int]]:
+    """The templates with their tokens in the global order, their prefix tokens, and that order. known: a row of _known() a document."""
+    rows, vocabulary = _template_rows(templates), _vocabulary(templates)
     # Global frequencies of the template tokens over all documents. At most len(vocabulary) rows reach the driver.
-    found = docs.select(F.explode(F.array_intersect(vocab, words(F.coalesce("text", F.lit(""))))).alias("token"))
+    found = known.select(F.explode("known").alias("token"))
     counts = {r["token"]: r["n"] for r in found.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = {t: k for k, t in enumerate(sorted(vocabulary, key=lambda t: (counts.get(t, 0), t)))}
 
@@ -125,7 +136,7 @@ def template_matches(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPL
 
     text_hash tells repeated ids apart; block counts a text's lines from 0.
     """
-    whole, prefixes, order = plan or _plan(docs, templates, threshold)
+    whole, prefixes, order = plan or _plan(docs.select(_known(words(F.coalesce("text", F.lit(""))), templates).alias("known")), templates, threshold)
     prefix_tokens = sorted({p["token"] for p in prefixes})
     index = _literal(docs, prefixes, "array<struct<token:string,tid:int,pos:int>>")
     templates_df = _literal(docs, whole, "array<struct<tid:int,label:string,tokens:array<string>,m:int,need:int,wider:array<int>>>")
@@ -163,7 +174,7 @@ def wrapped_matches(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLA
 
     block is the line in which the run begins; of runs that overlap, the first one counts.
     """
-    whole, prefixes, order = plan or _plan(docs, templates, threshold)
+    whole, prefixes, order = plan or _plan(docs.select(_known(words(F.coalesce("text", F.lit(""))), templates).alias("known")), templates, threshold)
     for t, most in zip(whole, _run_lengths(templates)):
         t["most"] = most
         t["prefix"] = [p["token"] for p in prefixes if p["tid"] == t["tid"]]
@@ -228,19 +239,22 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATE
     base_labels, labels string (sorted, distinct, comma-joined; '' if there is none),
     score double (1 for a phrase place, else the best containment, else 0), n_blocks long.
     """
-    docs = docs.select("doc_id", "text")
-    plan = _plan(docs, templates, threshold)
+    docs = stored(docs.select("doc_id", "text"), "license-input")
+    read = docs.select("doc_id", place().alias("place"), F.xxhash64("text").alias("text_hash"), words(F.coalesce("text", F.lit(""))).alias("ws"))
+    at = [_phrase_starts(F.col("ws"), p).alias(f"at_{k}") for k, p in enumerate(PHRASES)]
+    base = materialise(read.select("doc_id", "place", "text_hash", F.size("ws").cast("long").alias("n_words"), *at, _known(F.col("ws"), templates).alias("known")), "license-words")
+    plan = _plan(base, templates, threshold)
+    # A text holds what its blocks hold. Texts of the others aren't read again.
+    enough = [F.size(F.array_intersect("known", F.array(*[F.lit(x) for x in t["tokens"]]))) >= t["need"] for t in plan[0]]
+    wanted = materialise(base.where(reduce(lambda a, b: a | b, enough)).select("place"), "license-wanted")
+    texts = flagged(docs.withColumn("place", place()), F.col("place"), wanted, F.col("place")).where("__maybe").drop("__maybe")
+    texts = materialise(texts.join(wanted, "place", "left_semi").select("doc_id", "text"), "license-texts")
     matched = (
-        template_matches(docs, templates, threshold, plan)
-        .union(wrapped_matches(docs, templates, threshold, plan))
+        template_matches(texts, templates, threshold, plan)
+        .union(wrapped_matches(texts, templates, threshold, plan))
         .groupBy("doc_id", "text_hash")
         .agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"), F.count_distinct("block").alias("n_blocks"))
     )
-    text = F.coalesce("text", F.lit(""))
-    # Every phrase holds "license"; other texts need no word array.
-    ws = F.when(text.rlike("(?i)license"), words(text)).otherwise(F.array().cast("array<string>"))
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.regexp_count(text, F.lit(RAW_WORD)).cast("long").alias("n_words"), ws.alias("ws"))
-    base = base.select("doc_id", "text_hash", "n_words", *[_phrase_starts(F.col("ws"), p).alias(f"at_{k}") for k, p in enumerate(PHRASES)])
     starts = F.concat(*[f"at_{k}" for k in range(len(PHRASES))])
     labels = F.array_compact(F.array(*[F.when(F.size(f"at_{k}") > 0, F.lit(v)) for k, v in enumerate(PHRASES.values())]))
     base = base.select(
