@@ -37,11 +37,18 @@ def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     the caller names they stay.
     """
     spark = df.sparkSession
+    mode = "overwrite" if path else "error"
     path = path or scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.mode(mode).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ended(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to path to its end."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the scratch files behind a materialised table that nothing reads any more."""
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -7,7 +7,8 @@ all that the driver gathers. Running sums over those rows give each partition it
 and a second pass adds it to the sizes within the partition. A group of equal texts goes to
 the shard in which its middle byte falls, so copies stay together and a shard is off its
 target by half a group at each end at most. A group over max_group of a shard's target is
-cut at the targets like other rows, since otherwise one large group would unbalance them.
+cut at the targets like other rows: at 1, only groups that would overfill a shard by
+themselves are.
 
 Defined results: a null text has no bytes, so it weighs `overhead` alone, and groups with
 empty texts; null ids come first within their group; repeated rows get a slot each. An
@@ -28,7 +29,7 @@ from ..functions.position import pinned
 from .common import table
 
 OVERHEAD = 16
-MAX_GROUP = 0.1
+MAX_GROUP = 1.0
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray] | None:

@@ -492,6 +492,11 @@ def test_pipeline_equals_brute_force(spark, sf, tmp_path, monkeypatch):
     got = made.collect()
     assert made.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "position"]
     assert [tuple(r) for r in got] == [(*w, k) for k, w in enumerate(want)]
+    # A run that is started again with a folder goes on after the stages that ended.
+    assert c.run(spark, str(tmp_path), f"{tmp_path}/stages").collect() == got
+    with monkeypatch.context() as m:
+        m.setattr(c, "STAGES", [*[(name, None) for name, _ in c.STAGES[:-1]], c.STAGES[-1]])
+        assert c.run(spark, str(tmp_path), f"{tmp_path}/stages").collect() == got
     made.write.parquet(f"{tmp_path}/out")
     assert pq.ParquetDataset(sorted((tmp_path / "out").glob("part-*"))).read(["position"])["position"].to_pylist() == list(range(len(want)))
 
