@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from keelson.llm import bpe, dart_minhash, language_id, mixing, stream_dedup
-from keelson.llm.common import materialise, table
+from keelson.llm.common import ended, materialise, table
 
 #: A text with a smaller share of its letters in words familiar from training is rejected, as is one without letters.
 MIN_FAMILIAR = 0.5
@@ -56,8 +56,16 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """Token rows of all documents that stay, in the order of the mix.
+
+    folder: where stages leave their rows, in a store that all executors share; a run that is
+    started again with it goes on after the last stage that ended. Else they go to scratch.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        if folder and ended(spark, f"{folder}/{name}"):
+            docs = spark.read.parquet(f"{folder}/{name}")
+        else:
+            docs = materialise(stage(spark, docs, sf_dir), name, f"{folder}/{name}" if folder else None)
     return STAGES[-1][1](spark, docs, sf_dir)
