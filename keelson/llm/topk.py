@@ -123,10 +123,9 @@ def _pack(size: int) -> Callable:
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Stored blocks of rows, with a number. Rows of a cell of any size are dealt over many tasks."""
-    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod(F.xxhash64("id"), F.lit(max(1, partitions // 4)))
-    dealt = rows.repartition(partitions, "cell", salt).sortWithinPartitions("cell", "id")
+    """Stored blocks of rows, with a number. A cell is dealt over so many groups that one of average size fills a block."""
+    salt = F.pmod(F.xxhash64("id"), F.lit(max(1, rows.count() // (CELLS * size))))
+    dealt = rows.repartition("cell", salt).sortWithinPartitions("cell", "id")
     packed = dealt.mapInArrow(_pack(size), "cell int, n int, ids binary, vectors binary, kind string, tau binary")
     return materialise(packed.select("*", F.monotonically_increasing_id().alias("block")), "topk-blocks")
 
@@ -281,7 +280,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, dims: int, k: int, lists: i
     points = np.array([r["vector"] for r in sample], np.float64)
     middle, mean = centres(points), points.mean(axis=0)
     celled = lambda rows: rows.mapInArrow(_assign(middle), "id long, vector array<long>, cell int")
-    candidate_blocks = _blocks(celled(candidates), BLOCK)
+    candidate_blocks = _blocks(materialise(celled(candidates), "topk-candidates"), BLOCK)
     asked = materialise(celled(queries.dropDuplicates(["id", "vector"])), "topk-queries")
 
     # Phase 1. The first rows of each cell's fullest block: at most CELLS * PROBE_ROWS vectors.
@@ -301,7 +300,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, dims: int, k: int, lists: i
     tau = tau.select(F.col("query_id").alias("id"), F.when(F.col("found") >= k, F.col("tau").cast("double")).alias("tau"))
 
     # Phases 2 and 3.
-    query_blocks = _blocks(asked.join(tau, "id", "left").withColumn("tau", F.coalesce("tau", F.lit(float("nan")))), QUERY_BLOCK)
+    bounded = asked.join(tau, "id", "left").withColumn("tau", F.coalesce("tau", F.lit(float("nan"))))
+    query_blocks = _blocks(materialise(bounded, "topk-bounded"), QUERY_BLOCK)
     found = _each_pair(_grid(query_blocks, candidate_blocks), lambda q, c: resolve(q, c, mean, dims, lists, k), dims)
     if report is not None:
         found = materialise(found, "topk-found")
