@@ -225,17 +225,19 @@ def fit(texts: list[str], labels: list[str], steps: int = STEPS) -> Model:
 def train(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE, train_bytes: int = TRAIN_BYTES) -> Model | None:
     """Learns from documents that are not held out; None if there is none with a language."""
     size = F.octet_length("text").cast("long")
-    labelled = docs.select("doc_id", "lang", "text").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (size > 0) & ~held_out(F.col("doc_id")))
+    labelled = docs.select("doc_id", "lang", "text", size.alias("size")).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.col("size") > 0) & ~held_out(F.col("doc_id")))
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "size")
-    sizes = labelled.select("doc_id", "lang", size.alias("size"))
+    sizes = labelled.select("doc_id", "lang", "size")
     names = [r["lang"] for r in sizes.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
     if not names:
         return None
     first = sizes.where(F.col("lang").isin(names)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= docs_a_language)
     upto = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))
-    chosen = first.withColumn("upto", upto).where(F.col("upto") <= train_bytes // len(names)).select("doc_id", "lang")
-    # At most docs_a_language * MAX_LANGUAGES ids; as many texts, of train_bytes together, on the driver.
-    picked = labelled.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi").orderBy("doc_id", "lang").limit(docs_a_language * len(names)).collect()
+    chosen = first.withColumn("upto", upto).where(F.col("upto") <= train_bytes // len(names)).select("doc_id", "lang", "size")
+    # At most docs_a_language * MAX_LANGUAGES ids; as many texts, of train_bytes together, on the driver. Rows that agree in
+    # id, language and size give one text.
+    keys = ["doc_id", "lang", "size"]
+    picked = labelled.join(F.broadcast(chosen.distinct()), keys, "left_semi").groupBy(*keys).agg(F.min("text").alias("text")).orderBy(*keys).collect()
     return fit([r["text"] for r in picked], [r["lang"] for r in picked]) if picked else None
 
 
