@@ -1,4 +1,5 @@
 import math
+from types import SimpleNamespace
 
 import pytest
 from hypothesis import given
@@ -6,11 +7,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from keelson.functions import radix
-from keelson.functions.position import with_position
+from keelson.functions.position import shared_dir, with_position
 from keelson.operators import joins, layout, skew
 from keelson.plans.chooser import Decision, choose, size_radix
 from keelson.plans.cli import main, parse, phases
 from keelson.sources import generators as gen
+from keelson.streaming.state import drain
 
 STRATEGIES = ["broadcast", "shuffle_hash", "merge", "skew", "salt"]
 
@@ -127,6 +129,30 @@ def test_positions_and_scatter(spark):
         layout.sub_blocks(blocked, radix.low_radix(F.col("k"), 2), 4, 3)
 
 
+def test_folder_of_intermediate_tables():
+    def session(master, conf=None, given=None):
+        own = {"spark.checkpoint.dir": conf} if conf else {}
+        context = SimpleNamespace(master=master, getConf=lambda: own, getCheckpointDir=lambda: given)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: own.get(key, default)))
+
+    assert shared_dir(session("spark://h:7077", "s3://b/c/", "hdfs://x")) == "s3://b/c"
+    assert shared_dir(session("local-cluster[1,1,1024]", None, "hdfs://x/y")) == "hdfs://x/y"
+    assert shared_dir(session("local[4]")) == "/tmp/checkpoints"
+    for master in ("spark://h:7077", "yarn", "local-cluster[1,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master))
+
+
+def test_state_of_a_stream_goes_on(spark, tmp_path):
+    rows = lambda n: spark.range(n).select((F.col("id") % 3).alias("k"))
+    rows(10).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k long").parquet(f"{tmp_path}/in").groupBy("k").count()
+    state = lambda out: {r["key"]["k"]: r["value"][0] for r in drain(stream, f"{tmp_path}/state", f"{tmp_path}/{out}").collect()}
+    assert state("a") == {0: 4, 1: 3, 2: 3}
+    rows(2).write.mode("append").parquet(f"{tmp_path}/in")
+    assert state("b") == {0: 5, 1: 4, 2: 3}
+
+
 def test_more_workers_than_rows(spark):
     rows = layout.slices(spark.range(3), "id", 5).orderBy("pos").collect()
     assert [r["worker"] for r in rows] == [0, 1, 2]
