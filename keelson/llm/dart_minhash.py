@@ -1,7 +1,8 @@
 """Near-duplicate detection with DartMinHash signatures and banded joining.
 
-Signatures. A text is a weighted set: its elements are its shingles, and an element weighs as
-often as it occurs. Each element owns a plane of weight and rank on which hashing
+Signatures. A text is a weighted set: its elements are its shingles, and one that occurs c times
+weighs 1 + floor(log2 c), so that a passage repeated over and over doesn't outweigh the rest.
+Each element owns a plane of weight and rank on which hashing
 throws darts at one a unit of area. A set gathers the darts that lie below the element's
 weight, layer by layer of rising rank, until every one of k coordinates (a dart names one
 by its hash) has a dart; the earliest dart of a coordinate is its value. Two weighted sets
@@ -12,8 +13,8 @@ weight too, so all sets see the same darts.
 Joining. Documents with one weighted set are one node. Nodes that agree in a whole band of
 the signature share a bucket. In each bucket the node that shares the most bands leads: all
 others are held against it, and the exact weighted similarity of each such pair is computed
-from the shingles, of which every occurrence is an element of its own by then: the sum of the
-smaller weights over that of the larger ones. Linked nodes are in one class. In further rounds, the nodes outside a bucket's
+from the shingles, of which every unit of weight is an element of its own by then: the sum of
+the smaller weights over that of the larger ones. Linked nodes are in one class. In further rounds, the nodes outside a bucket's
 largest class are held against the leading nodes of other classes, eight times as many each
 time, until every pair of a bucket is either compared or in one class. So no pair of a
 bucket that is linked goes uncompared, and a bucket of copies costs about as many pairs as
@@ -51,6 +52,8 @@ BANDS, BAND_ROWS = 24, 6
 LEADERS = 8
 #: Up to so many pairs, the nodes in them are broadcast (16 bytes each); beyond, all shingles are shuffled.
 BROADCAST_PAIRS = 500_000
+#: Groups of a profile.
+GROUPS = 64
 LOWEST = -8  # the first layer of ranks is [0, 2**LOWEST)
 U = np.uint64
 
@@ -113,7 +116,7 @@ def sketch(element: np.ndarray, owner: np.ndarray, weight: np.ndarray, sets: int
 
 
 def shingle_bags(texts: pa.Array, size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The sorted distinct shingle hashes of each text (no nulls), and how often each occurs."""
+    """The sorted distinct shingle hashes of each text (no nulls), and what each weighs."""
     clean = pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}\p{M}\p{N}]+", " ")
     lists = pc.split_pattern(pc.utf8_trim(clean, " "), " ")
     words = lists.flatten().dictionary_encode()
@@ -132,22 +135,23 @@ def shingle_bags(texts: pa.Array, size: int = SHINGLE) -> list[tuple[np.ndarray,
         elif b - a < size:
             out.append((mix((w[a:b] * (salts[: b - a] | U(1))).sum(keepdims=True) + U(b - a)), np.ones(1, np.int64)))
         else:
-            out.append(np.unique(rolled[a : b - size + 1], return_counts=True))
+            element, times = np.unique(rolled[a : b - size + 1], return_counts=True)
+            out.append((element, np.frexp(times.astype(np.float64))[1].astype(np.int64)))
     return out
 
 
-def occurrences(element: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """A set with an element for each occurrence, so that weighted similarity is that of sets. First occurrences keep their hash."""
-    if not len(times) or times.max() == 1:
+def units(element: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A set with an element for each unit of weight, so that weighted similarity is that of sets. First units keep their hash."""
+    if not len(weight) or weight.max() == 1:
         return element
-    nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-    each = np.repeat(element, times)
+    nth = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+    each = np.repeat(element, weight)
     return np.sort(np.where(nth > 0, mix(each + nth.astype(U) * U(0x9E3779B97F4A7C15)), each))
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
-    """occurrences() of the shingles of each text (no nulls)."""
-    return [occurrences(e, n) for e, n in shingle_bags(texts, size)]
+    """units() of the shingles of each text (no nulls)."""
+    return [units(e, n) for e, n in shingle_bags(texts, size)]
 
 
 def node_name(s: np.ndarray) -> bytes:
@@ -161,7 +165,7 @@ def _signatures(size: int, bands: int, rows: int):
         for part, texts in text_slices(batches):
             bags = shingle_bags(texts, size)
             for a in range(0, len(bags), 256):
-                some = [occurrences(*bag) for bag in bags[a : a + 256]]
+                some = [units(*bag) for bag in bags[a : a + 256]]
                 full = [bag for bag in bags[a : a + 256] if len(bag[0])]
                 keys = iter(())
                 if full:
@@ -179,7 +183,7 @@ def _signatures(size: int, bands: int, rows: int):
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id, h long (the text's hash), n int (shingles, repeated ones as well), node binary (null without a word), bands array<long>."""
+    """doc_id, h long (the text's hash), n int (weight of its shingles), node binary (null without a word), bands array<long>."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(_signatures(size, bands, rows), f"doc_id {kind}, h long, n int, node binary, bands array<long>")
 
@@ -211,6 +215,12 @@ def lone_shingles(shingles: DataFrame, nodes: DataFrame) -> DataFrame:
     return alone.groupBy("nid").agg(F.count(F.lit(1)).cast("int").alias("lone"))
 
 
+def profiles(shingles: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(nid, profile): a node's shingles by hash group. Two nodes share at most the sum of the groups' smaller numbers."""
+    counts = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.size(F.filter("shingles", lambda x: F.pmod(x, F.lit(GROUPS)) == g)))
+    return shingles.join(nodes, "nid", "left_semi").select("nid", counts.alias("profile"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(nid, comp): the smallest node of each node's component, by label propagation with pointer jumping."""
     edges = materialise(links.union(links.select("b", "a")).distinct(), "links")
@@ -257,25 +267,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
         largest = now.agg(F.max("size")).first()[0]
         if largest is None:
             break
-        # Two nodes share at most the shingles that both have in common with anyone in an open bucket. This bound
-        # rules out the scattered relatives of a text without looking at their pairs.
+        # Two nodes share at most the shingles that both have in common with anyone in an open bucket, and what their
+        # profiles allow. These bounds rule out the scattered relatives of a text without looking at their shingles.
         if tested is None:
-            now = now.withColumn("common", F.col("n")).withColumn("before", F.lit(None).cast("array<long>"))
+            now = now.withColumn("common", F.col("n")).withColumn("before", F.lit(None).cast("array<long>")).withColumn("profile", F.lit(None).cast("array<int>"))
         else:
             if left_over is None:
                 ids = now.select("nid").distinct()
-                left_over = nodes.select("nid", "bands").join(ids, "nid", "left_semi").join(lone_shingles(shingles, ids), "nid", "left")
-                left_over = materialise(left_over.select("nid", "bands", F.coalesce("lone", F.lit(0)).alias("lone")), "left-over")
+                left_over = nodes.select("nid", "bands").join(ids, "nid", "left_semi").join(lone_shingles(shingles, ids), "nid", "left").join(profiles(shingles, ids), "nid")
+                left_over = materialise(left_over.select("nid", "bands", "profile", F.coalesce("lone", F.lit(0)).alias("lone")), "left-over")
             now = now.join(left_over, "nid").withColumn("common", F.col("n") - F.col("lone")).withColumn("before", F.slice("bands", F.lit(1), F.col("nth")))
             now = now.where(F.col("common") >= threshold * F.col("n") - 1e-9)
         enough = F.least("common", "b_common") * (1 + threshold) >= threshold * (F.col("n") + F.col("b_n")) - 1e-9
         # A pair comes up in the first band that it shares alone.
-        enough &= F.lit(True) if tested is None else ~F.arrays_overlap("before", "b_before")
+        if tested is not None:
+            most = F.aggregate(F.zip_with("profile", "b_profile", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+            enough &= ~F.arrays_overlap("before", "b_before") & (most * (1 + threshold) >= threshold * (F.col("n") + F.col("b_n")) - 1e-9)
         # Every pair of two classes has a node outside the bucket's largest class: that one is held against leaders
         # of both sides. In the first round the largest class is the node that leads.
         rank = F.row_number().over(W.partitionBy("band", "inside").orderBy(F.desc("degree"), "nid"))
         lead = now.where("inside") if labels is None and tested is None else now
-        lead = lead.withColumn("r", rank).where((F.col("r") > done) & (F.col("r") <= leaders)).select("band", F.col("nid").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"), F.col("common").alias("b_common"), F.col("before").alias("b_before"))
+        lead = lead.withColumn("r", rank).where((F.col("r") > done) & (F.col("r") <= leaders)).select("band", F.col("nid").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"), F.col("common").alias("b_common"), F.col("before").alias("b_before"), F.col("profile").alias("b_profile"))
         lead = materialise(lead, "leaders")
         pairs = now.where("not inside").join(lead, "band").where((F.col("comp") != F.col("b_comp")) & (F.least("n", "b_n") >= threshold * F.greatest("n", "b_n") - 1e-9) & enough)
         pairs = pairs.select(F.least("nid", "b").alias("a"), F.greatest("nid", "b").alias("b")).distinct()
