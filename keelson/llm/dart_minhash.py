@@ -208,17 +208,17 @@ def verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFra
     return pairs.join(left, "a").join(right, "b").where(both >= threshold * (F.size("s") + F.size("t") - both) - 1e-9).select("a", "b")
 
 
-def lone_shingles(shingles: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(nid, lone): how many shingles of a node no other of the nodes has. Nodes without any are left out."""
-    each = shingles.join(nodes, "nid", "left_semi").select("nid", F.explode("shingles").alias("shingle"))
+def lone_shingles(shingles: DataFrame) -> DataFrame:
+    """(nid, lone): how many shingles of a node no other node has. Nodes without any are left out."""
+    each = shingles.select("nid", F.explode("shingles").alias("shingle"))
     alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("nid").alias("nid")).where("k = 1")
     return alone.groupBy("nid").agg(F.count(F.lit(1)).cast("int").alias("lone"))
 
 
-def profiles(shingles: DataFrame, nodes: DataFrame) -> DataFrame:
+def profiles(shingles: DataFrame) -> DataFrame:
     """(nid, profile): a node's shingles by hash group. Two nodes share at most the sum of the groups' smaller numbers."""
     counts = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.size(F.filter("shingles", lambda x: F.pmod(x, F.lit(GROUPS)) == g)))
-    return shingles.join(nodes, "nid", "left_semi").select("nid", counts.alias("profile"))
+    return shingles.select("nid", counts.alias("profile"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -244,7 +244,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     spread = nodes.select("nid", "n", F.posexplode("bands").alias("nth", "band"))
     shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     # Stored, here and below, so that a join's exchanges are plain ones, which adaptive execution splits where a key is hot.
-    members = materialise(spread.join(materialise(shared, "shared"), "band"), "shared-bands")
+    shared = materialise(shared, "shared")
+    likely = flagged(spread, F.col("band"), shared, F.col("band")).where("__maybe").drop("__maybe")
+    members = materialise(likely.join(shared, "band"), "shared-bands")
     # The nodes that share the most lead: a group's original, or the copy nearest to it, does.
     degree = members.groupBy("nid").agg(F.sum("size").alias("degree"))
     members = materialise(members.drop("size").join(degree, "nid"), "members")
@@ -273,8 +275,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
             now = now.withColumn("common", F.col("n")).withColumn("before", F.lit(None).cast("array<long>")).withColumn("profile", F.lit(None).cast("array<int>"))
         else:
             if left_over is None:
-                ids = now.select("nid").distinct()
-                left_over = nodes.select("nid", "bands").join(ids, "nid", "left_semi").join(lone_shingles(shingles, ids), "nid", "left").join(profiles(shingles, ids), "nid")
+                ids = materialise(now.select("nid").distinct(), "open-nodes")
+                theirs = flagged(shingles, F.col("nid"), ids, F.col("nid")).where("__maybe").drop("__maybe")
+                theirs = materialise(theirs.join(ids, "nid", "left_semi"), "open-shingles")
+                left_over = nodes.select("nid", "bands").join(ids, "nid", "left_semi").join(lone_shingles(theirs), "nid", "left").join(profiles(theirs), "nid")
                 left_over = materialise(left_over.select("nid", "bands", "profile", F.coalesce("lone", F.lit(0)).alias("lone")), "left-over")
             now = now.join(left_over, "nid").withColumn("common", F.col("n") - F.col("lone")).withColumn("before", F.slice("bands", F.lit(1), F.col("nth")))
             now = now.where(F.col("common") >= threshold * F.col("n") - 1e-9)
