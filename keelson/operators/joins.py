@@ -5,10 +5,10 @@ R has columns key and payload with unique keys; S has key. Null keys match nothi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.chooser import DEFAULT_BUDGET, Decision, choose, worth_sampling
+from ..plans.chooser import BROADCAST_LIMIT, DEFAULT_BUDGET, HEAP_A_BYTE, ROW_BYTES, Decision, choose, worth_sampling
 from . import skew
 from .layout import partition_by_key
 
@@ -28,7 +28,7 @@ def as_relation(df: DataFrame, key: str, payload: str | None = None) -> DataFram
 
 
 def broadcast_join(r: DataFrame, s: DataFrame) -> DataFrame:
-    """Neither side is exchanged; R, whose size choose() has checked, goes to every executor."""
+    """Neither side is exchanged; R, whose size decide() has checked, goes to every executor."""
     return s.join(F.broadcast(r), "key")
 
 
@@ -69,17 +69,31 @@ def join(r: DataFrame, s: DataFrame, decision: Decision) -> DataFrame:
     return {"merge": merge_join, "skew": skew_join, "salt": salted_join}[decision.strategy](r, s)
 
 
+def broadcast_limit(spark: SparkSession) -> int:
+    """Bytes of a primary side that the driver, which builds a broadcast, and the executors, which hold it, have the memory for."""
+    sc = spark.sparkContext
+    heap = sc._jvm.java.lang.Runtime.getRuntime().maxMemory()
+    if not sc.master.startswith("local["):
+        heap = min(heap, sc._jsc.sc().executorMemory() << 20)
+    return min(BROADCAST_LIMIT, heap // HEAP_A_BYTE)
+
+
 def decide(r: DataFrame, s: DataFrame, primary_rows: int, foreign_rows: int, budget: int = DEFAULT_BUDGET, strategy: str = "auto", radix: int | None = None, sample: DataFrame | None = None) -> Decision:
     """The strategy for a join, from sizes and, where it matters, from S's skew in a sample (key, worker).
 
     Skew matters if the join would be partitioned, its partitioning isn't given, and S is large
     against R. The sample is the first block of each partition of S unless one is given.
+
+    A primary side that memory can't carry is not broadcast, not even on request: `auto` decides then.
     """
-    first = choose(primary_rows, foreign_rows, budget, False, strategy, radix=radix)
+    limit = broadcast_limit(r.sparkSession)
+    if strategy == "broadcast" and primary_rows * ROW_BYTES > limit:
+        strategy = "auto"
+    first = choose(primary_rows, foreign_rows, budget, False, strategy, limit=limit, radix=radix)
     if strategy != "auto" or radix is not None or first.radix == 0 or not worth_sampling(primary_rows, foreign_rows):
         return first
     found = skew.sampled(skew.first_blocks(s) if sample is None else sample, max(SKEW_RADIX, first.radix))
-    return choose(primary_rows, foreign_rows, budget, found, strategy)
+    return choose(primary_rows, foreign_rows, budget, found, strategy, limit=limit)
 
 
 def checked(r: DataFrame) -> DataFrame:

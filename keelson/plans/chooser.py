@@ -13,6 +13,9 @@ DEFAULT_BUDGET = 64 << 20
 BROADCAST_LIMIT = 2 << 30
 #: Bytes of a row of the primary side that stay in memory.
 ROW_BYTES = 16
+#: Heap that ROW_BYTES of a broadcast take at most: the rows collected, a hash table that doubles as it grows, and its
+#: blocks, in half of the heap.
+HEAP_A_BYTE = 16
 #: Foreign rows for each primary row from which skew is worth handling.
 SKEW_RATIO = 3
 

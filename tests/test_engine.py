@@ -197,6 +197,20 @@ def test_skew_is_sampled_where_it_matters(spark, monkeypatch):
     assert joins.decide(r, hot, 1000, 20_000).strategy == "broadcast" and joins.decide(r, hot, 1000, 2_999, budget=1_000).strategy == "shuffle_hash"
 
 
+def test_a_broadcast_over_the_memory_is_partitioned(spark, monkeypatch):
+    r, s = gen.primary_keys(spark, 1000), spark.range(20_000).select((F.col("id") % 1000 + 1).alias("key"))
+    assert joins.decide(r, s, 1000, 20_000, strategy="broadcast").strategy == "broadcast"
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory()
+    for rows in (heap // 256 + 1, 10**9):
+        assert joins.decide(r, s, rows, rows, strategy="broadcast").strategy == "shuffle_hash"
+    monkeypatch.setattr(joins, "broadcast_limit", lambda spark: 1000 * 16 - 1)
+    for strategy in ("auto", "broadcast"):
+        decision = joins.decide(r, s, 1000, 20_000, strategy=strategy)
+        assert decision.strategy == "shuffle_hash"
+        row = joins.summary(r, joins.join(r, s, decision)).first()
+        assert (row["matches"], row["checksum"]) == (20_000, 20 * sum(3 * k + 1 for k in range(1, 1001)) + 500_500)
+
+
 def test_a_skewed_partition_is_split(spark):
     """The plan that ran over a Zipf relation, chosen on the automatic path, has a skew join."""
     conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k"}
