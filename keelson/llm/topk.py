@@ -80,6 +80,17 @@ def centres(sample: np.ndarray, cells: int = CELLS, rounds: int = 8) -> np.ndarr
     return middle
 
 
+def bounded_sample(rows: DataFrame, size: int) -> list:
+    """At most `size` of the rows, spread over all of them; all, if there are no more.
+
+    A part of each partition that is `size` rows of all together, with some to spare, is all that tasks send: however
+    many they are, the driver gets no more.
+    """
+    n = rows.count()
+    some = rows.sample(min(1.0, 1.25 * size / n), seed=1) if n > size else rows
+    return some.orderBy(F.xxhash64("id", "vector"), "id").limit(size).collect()
+
+
 def _nearest(points: np.ndarray, middle: np.ndarray) -> np.ndarray:
     return ((middle**2).sum(axis=1) - 2 * points.astype(np.float64) @ middle.T).argmin(axis=1)
 
@@ -265,7 +276,8 @@ def _grid(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     right = _named(candidates, "c").select("*", number(tall).alias("a"), all_of(wide).alias("b")).drop("block", "cell")
     left = _named(queries, "q").select("*", number(wide).alias("b"), all_of(tall).alias("a")).drop("block", "cell")
-    return right.join(left, ["a", "b"])
+    # Whatever the blocks' files weigh, the copies are many: neither side may be broadcast.
+    return right.join(left.hint("merge"), ["a", "b"])
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, dims: int, k: int, lists: int = LISTS, report: dict | None = None) -> DataFrame:
@@ -274,7 +286,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, dims: int, k: int, lists: i
     report, if given, gets `share`: the products of components that were worked out, of those of all pairs.
     """
     spark = candidates.sparkSession
-    sample = candidates.orderBy(F.xxhash64("id", "vector"), "id").limit(SAMPLE).collect()  # SAMPLE vectors of dims
+    sample = bounded_sample(candidates, SAMPLE)
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     points = np.array([r["vector"] for r in sample], np.float64)

@@ -373,6 +373,24 @@ def test_top_k_skips_products(spark, monkeypatch):
     assert report["share"] < 0.25
 
 
+def test_what_top_k_sends_to_the_driver_does_not_grow_with_tasks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SAMPLE", 1024)
+    monkeypatch.setattr(topk, "PROBE_ROWS", 16)
+    vectors = spark.range(0, 50_000, 1, 50).select("id", F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(256)) for i in range(16)]).alias("vector"))
+    sc = spark.sparkContext
+    sc.setJobGroup("top-k-driver", "")
+    try:
+        rows = topk.top_k(vectors.where("id < 3"), vectors, 16, 5).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(rows) == 15
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = [i for job in tracker.getJobIdsForGroup("top-k-driver") for i in tracker.getJobInfo(job).stageIds]
+    # 50 tasks that sent SAMPLE rows each would send over 7 MB.
+    assert 0 < max(store.lastStageAttempt(i).resultSize() for i in stages if tracker.getStageInfo(i) and tracker.getStageInfo(i).numCompletedTasks) < 1_000_000
+
+
 # Line dedup
 
 
