@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 8 << 20
+#: For work that takes many times its texts: tens of bytes for each word.
+SMALL_SLICE_BYTES = 2 << 20
 U = np.uint64
 
 
@@ -19,13 +22,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Rows whose texts have about SLICE_BYTES together, or one longer text."""
+def release() -> None:
+    """Give freed memory back to the system: a worker outlives its task, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # a C library without it
+        pass
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Rows whose texts have about `size` bytes together, or one longer text. Memory is released when they end."""
     for b in batches:
         texts = pc.fill_null(b.column("text"), "")
         ends = np.cumsum(pc.binary_length(texts).to_numpy())
         at = 0
         while at < b.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
             yield b.slice(at, to - at), texts.slice(at, to - at)
             at = to
+    release()

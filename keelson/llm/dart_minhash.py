@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .batches import mix, text_slices
+from .batches import SMALL_SLICE_BYTES, mix, text_slices
 from .common import discard, flagged, materialise, null_safe, table
 
 SHINGLE = 5
@@ -162,7 +162,7 @@ def node_name(s: np.ndarray) -> bytes:
 def _signatures(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = mix(np.arange(1, rows + 1).astype(U) * U(0x9E3779B97F4A7C15)) | U(1)
-        for part, texts in text_slices(batches):
+        for part, texts in text_slices(batches, SMALL_SLICE_BYTES):
             bags = shingle_bags(texts, size)
             for a in range(0, len(bags), 256):
                 some = [units(*bag) for bag in bags[a : a + 256]]
@@ -190,7 +190,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: i
 
 def _shingles(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches):
+        for part, texts in text_slices(batches, SMALL_SLICE_BYTES):
             sets = shingle_sets(texts, size)
             yield pa.RecordBatch.from_arrays([pa.array([node_name(s) if len(s) else None for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .batches import mix, text_slices
+from .batches import SMALL_SLICE_BYTES, mix, text_slices
 from .common import held_out, table
 
 DOCS_A_LANGUAGE = 150
@@ -280,7 +280,7 @@ def identify(docs: DataFrame, model: Model | None, spans: bool = False) -> DataF
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches):
+        for part, texts in text_slices(batches, SMALL_SLICE_BYTES):
             found = label_texts(shipped.value, texts, spans)
             yield pa.RecordBatch.from_arrays([*part.columns, *found.columns], [*names, *found.schema.names])
 
@@ -293,7 +293,7 @@ def keep_identified(docs: DataFrame, model: Model | None, min_familiar: float) -
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches):
+        for part, texts in text_slices(batches, SMALL_SLICE_BYTES):
             found = label_texts(shipped.value, texts)
             yield part.filter(pc.and_(pc.not_equal(found.column("lang_pred"), "und"), pc.greater_equal(found.column("familiar"), min_familiar)))
 

@@ -1,9 +1,14 @@
 """Stored copies, places of rows, the order of files, and the map of members."""
 
+import tracemalloc
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.llm import common
+from keelson.llm import common, language_id
 
 
 def test_rows_of_files_are_used_as_they_are(spark, sf, tmp_path):
@@ -46,3 +51,20 @@ def test_members_are_always_flagged(spark, bits, monkeypatch):
     assert not {i or None for i in range(0, 20_000, 3)} & false
     assert len(false) > (13_300 if bits > 20 else 10_000)
     assert common.flagged(rows, F.col("id"), members.where("false"), F.col("m")).where("__maybe").isEmpty()
+
+
+def test_a_workers_memory_for_language_id_is_a_small_slices():
+    """Over one batch of 12 MB, as Spark hands it to a worker."""
+    rng = np.random.default_rng(1)
+    words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "te") for b in ("ra", "no", "sti", "vel") for c in ("s", "n", "", "ing")]
+    texts = [" ".join(words[i] for i in rng.integers(0, len(words), 400)) for _ in range(5000)]
+    model = language_id.fit(texts[:8], ["a", "b", "c", "d"] * 2, steps=2)
+    docs = SimpleNamespace(schema=None, mapInArrow=lambda run, schema: run, sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))))
+    batch = pa.record_batch({"doc_id": list(range(len(texts))), "text": texts})
+    run = language_id.keep_identified(docs, model, 0.0)
+    tracemalloc.start()
+    try:
+        rows = sum(part.num_rows for part in run(iter([batch])))
+        assert rows == len(texts) and tracemalloc.get_traced_memory()[1] < 150e6
+    finally:
+        tracemalloc.stop()
